@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encoding, repetition, runs
+from millrace.llm import encoding, pii, repetition, runs
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -40,6 +40,20 @@ def p4_events(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("entity").alias("host"), F.col("key").alias("rec_id"), "started_at", "n_records", "duration_s", "level", "log")
 
 
+def _names(spark: SparkSession, d: str):
+    return pii.name_lists(spark.read.parquet(f"{d}/name_parts.parquet"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.kinds_found(_records(spark, d), "rec_id", "log", _names(spark, d)).distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every record, once, with placeholders for its personal information."""
+    once = _records(spark, d).select("rec_id", "log").dropDuplicates(["rec_id"])
+    return pii.redact(once, "rec_id", "log", _names(spark, d), redacted="log")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.over_limits(repetition.repetition(_documents(spark, d), "doc_id", "text"), max_share=0.30).select("doc_id")
 
@@ -49,7 +63,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(_documents(spark, d), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_restored, p4_found, p4_events, p8_found, p8_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_restored, p4_found, p4_events, p5_found, p5_redacted, p8_found, p8_shares)}
 
 _WORDS = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+'), lambda w: NOT regexp_matches(w, '[\p{{Nd}}²³¹⁰-⁹₀-₉]'))"
 _RUNS = (
