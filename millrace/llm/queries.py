@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encoding, pii, repetition, runs
+from millrace.llm import encoding, pii, repetition, runs, truncation
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -18,6 +18,16 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.found(_records(spark, d), "rec_id", "log", "environment.source").select("rec_id").distinct()
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """How many and what share of each source's records are cut."""
+    once = _records(spark, d).select("rec_id", "log", F.col("environment.source").alias("source")).dropDuplicates(["rec_id"])
+    return truncation.report(once, "rec_id", "log", "source")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     # A record delivered again has the same text: it is enough to make the ids of the findings unique.
     return encoding.repair(_records(spark, d).select("rec_id", "log"), "log").filter("garbled").select("rec_id").distinct()
@@ -63,7 +73,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(_documents(spark, d), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_restored, p4_found, p4_events, p5_found, p5_redacted, p8_found, p8_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_restored, p4_found, p4_events, p5_found, p5_redacted, p8_found, p8_shares)}
 
 _WORDS = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+'), lambda w: NOT regexp_matches(w, '[\p{{Nd}}²³¹⁰-⁹₀-₉]'))"
 _RUNS = (
