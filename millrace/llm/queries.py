@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encoding, pii, repetition, runs, truncation
+from millrace.llm import encoding, mixing, packing, pii, repetition, runs, tokens, truncation
+from millrace.session import written
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -64,6 +65,57 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(once, "rec_id", "log", _names(spark, d), redacted="log")
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their sizes in tokens, written once: packing and mixing read them several times."""
+    return written(tokens.token_counts(_documents(spark, d), "text", {"doc_id": "doc_id", "source": "source"}))
+
+
+def _packs(spark: SparkSession, d: str) -> list[tuple[str, int]]:
+    rows = spark.read.parquet(f"{d}/pack_targets.parquet").select("pack_id", "capacity_tokens").limit(packing.MAX_PACKS + 1).collect()
+    return sorted(map(tuple, rows))
+
+
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document or piece, for each capacity."""
+    return packing.pack(_sizes(spark, d), "doc_id", _packs(spark, d))
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The fill of every container."""
+    packs = _packs(spark, d)
+    return packing.containers(packing.pack(_sizes(spark, d), "doc_id", packs), packs)
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and mean fill of each capacity, topped up across buckets and with batches from one bucket only."""
+    packs, sizes = _packs(spark, d), _sizes(spark, d)
+
+    def total(across: bool, name: str, n_buckets: int) -> DataFrame:
+        c = packing.containers(packing.pack(sizes, "doc_id", packs, n_buckets=n_buckets, across=across), packs)
+        return c.groupBy("pack_id").agg(F.count(F.lit(1)).alias(f"{name}_containers"), F.avg("fill").alias(f"{name}_fill"))
+
+    return total(True, "topped_up", packing.N_BUCKETS).join(total(False, "one_bucket", 16), "pack_id")
+
+
+def _mix(spark: SparkSession, d: str, keep: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(_sizes(spark, d), "doc_id", mixing.read_targets(spark.read.parquet(f"{d}/mix_targets.parquet")), keep=keep)
+
+
+def p7_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each mix with their number of uses: shares as wanted, the mix smaller where a source doesn't suffice."""
+    return _mix(spark, d, "shares")[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Actual shares of those mixes."""
+    return mixing.shares(*_mix(spark, d, "shares"))
+
+
+def p7_sized_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Actual shares of mixes of the wanted size, whose weights move towards the natural shares where a source doesn't suffice."""
+    return mixing.shares(*_mix(spark, d, "size"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.over_limits(repetition.repetition(_documents(spark, d), "doc_id", "text"), max_share=0.30).select("doc_id")
 
@@ -73,7 +125,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(_documents(spark, d), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_restored, p4_found, p4_events, p5_found, p5_redacted, p8_found, p8_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_restored, p4_found, p4_events, p5_found, p5_redacted, p6_pieces, p6_containers, p6_fill, p7_documents, p7_shares, p7_sized_shares, p8_found, p8_shares)}
 
 _WORDS = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+'), lambda w: NOT regexp_matches(w, '[\p{{Nd}}²³¹⁰-⁹₀-₉]'))"
 _RUNS = (
