@@ -67,9 +67,9 @@ def _forget_at_exit(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors of a cluster, once per session; on a local session nothing is needed."""
+    """Sends this package to the Python workers, once per session: they need not have it installed."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or getattr(ship, "sent", None) == sc.applicationId:
+    if getattr(ship, "sent", None) == sc.applicationId:
         return
     root = Path(__file__).resolve().parent
     out = Path(tempfile.mkdtemp(prefix="millrace-ship-")) / f"{root.name}.zip"
