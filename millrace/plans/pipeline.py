@@ -22,7 +22,7 @@ class Result:
     """What a run gives. All are plans: nothing runs until they are used."""
 
     program: Program
-    parsed: DataFrame
+    parsed: DataFrame | None
     #: All records after the program, dropped ones included.
     records: DataFrame
 
@@ -59,7 +59,11 @@ def run(program: Program, raw: DataFrame, *, tag_override: str | None = None, se
     ok = parsed.filter(F.col(MALFORMED).isNull()).drop(MALFORMED, "record")
     extracted = run_steps(ok, source.extractions, program.schema, (), (SOURCE, ORDER))
     # What an extraction drops is gone before anything counts it.
-    extracted = extracted.filter(ALIVE)
+    return transform(program, extracted.filter(ALIVE), parsed=parsed, tag_override=tag_override, seen=seen, marks=marks)
+
+
+def transform(program: Program, extracted: DataFrame, *, parsed: DataFrame | None = None, tag_override: str | None = None, seen: dict[int, DataFrame] | None = None, marks: bool = False) -> Result:
+    """The part of a run after extraction; ``extracted`` are records as `start_records` makes them, with source and order."""
     keys = program.orchestration.keys
     held = capture(extracted, tuple(dict.fromkeys((*keys, *program.metric_keys))))
     tagged = held.withColumn(TAG, F.lit(tag_override) if tag_override is not None else tag(program.orchestration))

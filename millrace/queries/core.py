@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.skew import Measure, salted
+from millrace.queries import operators
 
 P3 = ["app", "vhost"]
 
@@ -37,15 +38,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return per_key.crossJoin(F.broadcast(total)).filter(F.col("n") >= 0.02 * F.col("total")).select(*P3)
 
 
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return p3_keys(spark, d)
+flagship = operators.flagship
 
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_keys)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_keys)} | operators.QUERIES
 
 _KEYED = """WITH r AS (SELECT DISTINCT ON (rec_id) lower(trim(coalesce(environment.app, ''))) AS app, lower(trim(coalesce(environment.vhost, ''))) AS vhost,
  coalesce(strlen(log), 0) AS n_bytes, event_ts FROM custom_fluentd) """
 SQL: dict[str, str] = {
     "p3_keys": _KEYED + "SELECT app, vhost, count(*) AS n_records, CAST(sum(n_bytes) AS BIGINT) AS log_bytes, min(event_ts) AS first_ts, max(event_ts) AS last_ts FROM r GROUP BY app, vhost",
     "p3_found": _KEYED + "SELECT app, vhost FROM r GROUP BY app, vhost HAVING count(*) >= 0.02 * (SELECT count(*) FROM r)",
-}
+} | operators.SQL
