@@ -12,8 +12,8 @@ from millrace.operators.ranks import carried
 from millrace.schema import LABELS, ORDER, SIZE, SOURCE, Schema, start_records
 
 # Names of facilities, of severities, and of levels as loggers know them.
-FACILITIES = ("kern", "user", "mail", "daemon", "auth", "syslog", "lpr", "news", "uucp", "clock", "authpriv", "ftp", "ntp", "audit", "alert", "cron", "local0", "local1", "local2", "local3", "local4", "local5", "local6", "local7")
-SEVERITIES = ("emerg", "alert", "crit", "err", "warning", "notice", "info", "debug")
+FACILITIES = ("kern", "user", "mail", "daemon", "auth", "syslog", "lpr", "news", "uucp", "cron", "authpriv", "ftp", "ntp", "audit", "alert", "clock", "local0", "local1", "local2", "local3", "local4", "local5", "local6", "local7")
+SEVERITIES = ("emerg", "alert", "crit", "err", "warn", "notice", "info", "debug")
 LOG_LEVELS = ("off", "fatal", "crit", "error", "warn", "notice", "info", "debug")
 #: Bytes of a message that are kept, and bytes of a record from which on it is cut.
 MAX_MESSAGE = 1 << 20
