@@ -102,9 +102,18 @@ def input_counters(spark: SparkSession, d: str) -> DataFrame:
 _APP = "app_rec_id, facility, level, time_raw, host, app, pid, source, extradata, log, class, task, coalesce(vhost, '') AS vhost, pnum, ddsource, ddtags, hostname, service"
 
 
-@query("extractions", "SELECT DISTINCT line_id, facility, level, time_raw, host, app, pid, source, extradata, log, class, task, coalesce(vhost, '') AS vhost, pnum FROM app_records")
+@query(
+    "extractions",
+    _PARSED
+    + r""", e AS (SELECT *, regexp_matches(log, '^\[.*?\] - ') AND starts_with(log, '[') AND strlen(split_part(substr(log, 2), '] - ', 1)) + 4 <= 100 AS has_class,
+ regexp_matches(source, ':[0-9a-f-]*$') AND strlen(regexp_extract(source, ':([0-9a-f-]*)$', 1)) + 1 <= 41 AS has_task, contains(app, '/') AND strlen(regexp_extract(app, '/([^/]*)$', 1)) + 1 <= 100 AS has_vhost FROM parsed),
+x AS (SELECT *, CASE WHEN has_class THEN trim(split_part(substr(log, 2), '] - ', 1)) ELSE '' END AS class, CASE WHEN has_task THEN regexp_extract(source, ':([0-9a-f-]*)$', 1) ELSE '' END AS t0 FROM e)
+SELECT line_id, '' AS facility, level, time AS time_raw, host, CASE WHEN has_vhost THEN regexp_replace(app, '/[^/]*$', '') ELSE app END AS app, '' AS pid, CASE WHEN has_task THEN regexp_replace(source, ':[0-9a-f-]*$', '') ELSE source END AS source, '' AS extradata,
+ CASE WHEN has_class THEN substr(log, instr(log, '] - ') + 4) ELSE log END AS log, class, CASE WHEN class <> '' AND t0 <> '' THEN t0 || ':' || class ELSE t0 END AS task, CASE WHEN has_vhost THEN regexp_extract(app, '/([^/]*)$', 1) ELSE '' END AS vhost, right(t0, 1) AS pnum
+FROM x JOIN syslog_lines USING (conn_id, line_no)""",
+)
 def extractions(spark: SparkSession, d: str) -> DataFrame:
-    """Raw lines, framed, parsed and put through the sample program's extractions: the table of application records."""
+    """Raw lines, framed, parsed and put through the sample program's extractions."""
     p = program()
     parsed = parse(_raw(spark, d), p.schema, p.inputs[0].levels).filter(F.col(MALFORMED).isNull()).drop("record")
     r = run_steps(parsed, p.inputs[0].extractions, p.schema, (), (SOURCE, ORDER)).filter(ALIVE)
