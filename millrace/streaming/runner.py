@@ -95,7 +95,7 @@ class Runner:
             return False
         running = self.query is not None and self.query.isActive
         if running:
-            self.query.processAllAvailable()
+            # What was read and not finished is read again from the checkpoint.
             self.query.stop()
         self.program = new
         if self._source is not None and running:
