@@ -177,4 +177,4 @@ def cut_tail(value: Column, p: LabelPattern, max_len: int) -> tuple[Column, Colu
 
 def trimmed(value: Column) -> Column:
     """Without blanks and control characters at both ends."""
-    return F.regexp_replace(value, r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
+    return F.btrim(value, F.lit("".join(map(chr, range(33)))))

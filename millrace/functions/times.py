@@ -11,7 +11,4 @@ SHAPE = r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?
 
 def parse_time(value: Column) -> Column:
     """The time, or null for what is no time. Digits beyond microseconds are cut off."""
-    # Six digits of the fraction are all a timestamp holds, and a zone without a colon gets one.
-    short = F.regexp_replace(value, r"(\.\d{6})\d+", "$1")
-    zoned = F.regexp_replace(short, r"([+-]\d{2})(\d{2})\z", "$1:$2")
-    return F.when(value.rlike(SHAPE), F.try_to_timestamp(zoned))
+    return F.when(value.rlike(SHAPE), F.try_to_timestamp(value))

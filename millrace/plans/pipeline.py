@@ -11,7 +11,8 @@ from millrace.config import Output, Program
 from millrace.operators import metrics
 from millrace.operators.keysets import capture, key_name, tag
 from millrace.plans.steps import run_steps
-from millrace.schema import ALIVE, ORDER, SOURCE
+from millrace.schema import ALIVE, ORDER, SOURCE, keep
+from millrace.session import compile_in_pieces
 from millrace.sources.syslog import MALFORMED, input_counts, parse
 
 TAG = "_mr_tag"
@@ -27,7 +28,7 @@ class Result:
     records: DataFrame
 
     def passed(self) -> DataFrame:
-        return self.records.filter(ALIVE)
+        return keep(self.records, F.col(ALIVE))
 
     def events(self, output: Output) -> DataFrame:
         from millrace.sinks.events import serialize
@@ -56,14 +57,15 @@ def run(program: Program, raw: DataFrame, *, tag_override: str | None = None, se
     """``raw`` has (source, order, record), as framing gives it."""
     source = program.inputs[0]
     parsed = parse(raw, program.schema, source.levels)
-    ok = parsed.filter(F.col(MALFORMED).isNull()).drop(MALFORMED, "record")
+    ok = keep(parsed, F.col(MALFORMED).isNull()).drop(MALFORMED, "record")
     extracted = run_steps(ok, source.extractions, program.schema, (), (SOURCE, ORDER))
     # What an extraction drops is gone before anything counts it.
-    return transform(program, extracted.filter(ALIVE), parsed=parsed, tag_override=tag_override, seen=seen, marks=marks)
+    return transform(program, keep(extracted, F.col(ALIVE)), parsed=parsed, tag_override=tag_override, seen=seen, marks=marks)
 
 
 def transform(program: Program, extracted: DataFrame, *, parsed: DataFrame | None = None, tag_override: str | None = None, seen: dict[int, DataFrame] | None = None, marks: bool = False) -> Result:
     """The part of a run after extraction; ``extracted`` are records as `start_records` makes them, with source and order."""
+    compile_in_pieces(extracted.sparkSession)
     keys = program.orchestration.keys
     held = capture(extracted, tuple(dict.fromkeys((*keys, *program.metric_keys))))
     tagged = held.withColumn(TAG, F.lit(tag_override) if tag_override is not None else tag(program.orchestration))

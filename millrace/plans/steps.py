@@ -22,7 +22,7 @@ from millrace.functions.patterns import group_count, replacement_to_java, to_jav
 from millrace.functions.text import check_label, cut_head, cut_tail, has_email, label_pattern, redact_email, truncate, unescape
 from millrace.functions.times import parse_time
 from millrace.operators.sampling import keep_share
-from millrace.schema import ALIVE, LABELS, TIME, UNESCAPED, Schema
+from millrace.schema import ALIVE, LABELS, TIME, UNESCAPED, Schema, keep
 
 _guards = count()
 
@@ -337,7 +337,14 @@ def _drop(c: Context, s: Step) -> None:
         return
     if not c.order:
         raise ConfigError("a drop of less than 100 percent needs the order of arrival", s.line)
-    c.df = keep_share(c.df, matched, o["percentage"], c.keys, c.order, "_mr_ifdrop", c.seen.get(s.line))
+    share = lambda df: keep_share(df, matched, o["percentage"], c.keys, c.order, "_mr_ifdrop", c.seen.get(s.line))
+    if c.matched:
+        c.df = share(c.df)
+    else:
+        # Only what matches has to meet its key set; the rest, most records, passes by without a shuffle. Both branches compute the records, so
+        # a second sampling step would compute them four times: it shuffles instead.
+        rest = keep(c.df, ~hit).withColumn("_mr_ifdrop", F.lit(False))
+        c.df = rest.unionByName(share(keep(c.df, hit)))
     c.matched[s.line] = matched
     gone = hit & F.col("_mr_ifdrop")
     c.df = c.df.withColumns({

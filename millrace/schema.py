@@ -64,3 +64,12 @@ def start_records(df: DataFrame, schema: Schema, *, time: Column | None = None,
 def key_columns(keys: Sequence[str]) -> list[Column]:
     """Columns of a key set as a true tuple: ('a', 'bc') and ('ab', 'c') differ."""
     return [F.col(f"`{k}`") for k in keys]
+
+
+def keep(df: DataFrame, test: Column) -> DataFrame:
+    """Rows for which `test` holds, decided where the filter stands.
+
+    The optimizer would move a filter on a computed column below the projections that compute it, copying their expressions into the filter, again and again
+    for columns that build on each other. A column that isn't deterministic keeps it in its place, and each expression is evaluated once.
+    """
+    return df.withColumn("_mr_place", F.spark_partition_id()).filter(test & (F.col("_mr_place") >= 0)).drop("_mr_place")

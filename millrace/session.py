@@ -14,6 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 SHARED_DIR = "spark.checkpoint.dir"
 
 
+#: Bytes of a method the JVM still compiles. Spark's own limit is 8 times as high: long programs would then run interpreted.
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
+
+def compile_in_pieces(spark: SparkSession) -> None:
+    """Lets Spark generate code in pieces that the JVM compiles, unless the session has a limit of its own."""
+    if spark.conf.get(METHOD_LIMIT, "65535") == "65535":
+        spark.conf.set(METHOD_LIMIT, "8000")
+
+
 def local_session(cpus: str | int = "*", **conf: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     b = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")

@@ -67,7 +67,10 @@ def parse(df: DataFrame, schema: Schema, levels: Sequence[str] = LOG_LEVELS, rec
     """
     raw = F.coalesce(F.col(record), F.lit(""))
     parts = F.split(raw, " ", 8)
-    df = df.withColumn("_mr_parts", parts).withColumn("_mr_pri", F.when(F.get("_mr_parts", F.lit(0)).rlike(r"\A<[+-]?[0-9]{1,9}>1\z"), F.try_to_number(F.regexp_extract(F.get("_mr_parts", F.lit(0)), r"<\+?(-?[0-9]+)>", 1), F.lit("S999999999")).cast("int")))
+    first = F.get("_mr_parts", F.lit(0))
+    number = F.substr(first, F.lit(2), F.greatest(F.length(first) - 3, F.lit(0)))
+    plain = first.endswith(">1") & ~first.contains("\t") & ~first.contains("\n")
+    df = df.withColumn("_mr_parts", parts).withColumn("_mr_pri", F.when(plain, number.try_cast("int")))
     part = lambda i: F.coalesce(F.get("_mr_parts", F.lit(i)), F.lit(""))
     pri = F.col("_mr_pri")
     facility = F.shiftright(pri, 3)
