@@ -51,6 +51,19 @@ class Outbox:
         left = self.written().filter(F.octet_length("data") > 0).join(self.acknowledged().distinct(), "chunk_id", "left_anti")
         return left.dropDuplicates(["chunk_id"]).select("output", "tag", "chunk_id", "n_records", "data")
 
+    def compact(self, batch: int) -> None:
+        """Removes what batches before `batch` left, once nothing waits: the outbox is as large as what wasn't acknowledged yet, and no larger."""
+        if not self.pending().isEmpty():
+            return
+        conf = self.spark._jsc.hadoopConfiguration()
+        for kind in ("chunks", "acknowledged"):
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}")
+            fs = folder.getFileSystem(conf)
+            for entry in fs.listStatus(folder) if fs.exists(folder) else []:
+                name = entry.getPath().getName()
+                if name.startswith("batch=") and int(name[6:]) < batch:
+                    fs.delete(entry.getPath(), True)
+
     def size(self) -> int:
         """Bytes that wait."""
         return self.pending().agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]

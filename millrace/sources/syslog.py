@@ -47,7 +47,7 @@ def frame_lines(df: DataFrame, connection: str, line_no: str, line: str) -> Data
     A line that starts a record closes the one before; other lines continue it. The first line of a connection opens a record whatever it holds.
     Long connections are cut into blocks of lines, so that none has to fit a task; only the lines of one record come together. A null line is an empty one.
     """
-    rows = df.select(F.col(connection).alias(SOURCE), F.col(line_no).cast("bigint").alias("_mr_no"), F.coalesce(F.col(line), F.lit("")).alias("_mr_line"))
+    rows = df.select(F.col(connection).alias(SOURCE), F.coalesce(F.col(line_no).cast("bigint"), F.lit(0)).alias("_mr_no"), F.coalesce(F.col(line), F.lit("")).alias("_mr_line"))
     opened = carried(rows, F.when(is_start(F.col("_mr_line")), F.col("_mr_no")), [SOURCE], "_mr_no", ORDER)
     # Lines before the first start of a connection form one record, under a number below all others.
     opened = opened.withColumn(ORDER, F.coalesce(ORDER, F.lit(-1).cast("bigint")))

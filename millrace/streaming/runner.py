@@ -43,6 +43,8 @@ class Runner:
     connect: dict[str, Callable[[], Connection]] = field(default_factory=dict)
     send: bool = True
     reloads: dict[str, int] = field(default_factory=lambda: {"success": 0, "failure": 0})
+    #: Batches an output lost to a full buffer.
+    lost: dict[str, int] = field(default_factory=dict)
     query: StreamingQuery | None = None
     _source: Callable[[], DataFrame] | None = None
     _trigger: dict = field(default_factory=dict)
@@ -66,6 +68,8 @@ class Runner:
             for o in self.program.outputs:
                 box = self.outbox(o.name)
                 if not box.has_room():
+                    # A full buffer loses what is newest, and says so.
+                    self.lost[o.name] = self.lost.get(o.name, 0) + 1
                     continue
                 box.put(chunks.pack(result.events(o), o, batch=number), number)
             at = f"batch={number:019d}"
@@ -79,6 +83,7 @@ class Runner:
                 box = self.outbox(o.name)
                 done = deliver(box.pending(), self.connect.get(o.name) or opener(o))
                 box.acknowledge(done, number)
+                box.compact(number)
 
     def start(self, source: Callable[[], DataFrame], **trigger) -> StreamingQuery:
         """Starts the query; `source` gives the framed stream, anew for each start."""

@@ -130,6 +130,12 @@ def test_outbox(spark, tmp_path):
     assert box.size() == 10 and not box.has_room()
     box.acknowledge(spark.createDataFrame([("id2",), ("id3",)], "chunk_id string"), 0)
     assert sorted(r["chunk_id"] for r in Outbox(spark, str(tmp_path), "a/b").pending().collect()) == ["id1", "id4"]
+    box.put(df.withColumn("chunk_id", F.concat(F.lit("next"), "chunk_id")), 1)
+    box.compact(1)
+    assert box.written().count() == 10  # something waits
+    box.acknowledge(box.pending(), 1)
+    box.compact(1)
+    assert box.written().count() == 5 and box.pending().count() == 0
     assert folder_name("a/b") != folder_name("a_b") and folder_name("a/b").startswith("a_b.")
 
 

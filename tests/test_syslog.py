@@ -78,6 +78,13 @@ def test_framing_of_lines(spark, monkeypatch):
     assert got == {c: brute(lines) for c, lines in conns.items()}
 
 
+def test_framing_keeps_lines_without_a_connection(spark):
+    df = spark.createDataFrame([(None, 1, A), (None, 2, "more"), ("c", None, A), ("c", 1, None)], "conn string, no long, line string")
+    got = sorted(((r[SOURCE], r["record"]) for r in frame_lines(df, "conn", "no", "line").collect()), key=str)
+    assert got == [("c", A + "\n"), (None, A + "\nmore")]
+    assert frame_lines(df.limit(0), "conn", "no", "line").count() == 0
+
+
 def test_framing_of_text(spark, tmp_path):
     text = f"{A}\n{B}\n  one\n\n  two\n{A}\n"
     (tmp_path / "x.log").write_text(text)
@@ -108,10 +115,9 @@ def test_ranks(spark, block):
     for k, _, i, t, _ in rows:
         seen[k] = seen.get(k, 0) + t
         assert counted[i] == seen[k]
-    filled = {r["i"]: r["last"] for r in ranks.carried(df.filter("k is not null"), F.col("v"), ["k"], "i", "last", block).collect()}
+    filled = {r["i"]: r["last"] for r in ranks.carried(df, F.col("v"), ["k"], "i", "last", block).collect()}
     last = {}
     for k, _, i, _, v in rows:
-        if k is not None:
-            last[k] = v if v is not None else last.get(k)
-            assert filled[i] == last[k]
+        last[k] = v if v is not None else last.get(k)
+        assert filled[i] == last[k]
     assert ranks.running_count(df.limit(0), "t", ["k"], ["s", "i"], "n", block).count() == 0
