@@ -130,8 +130,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _WORDS = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+'), lambda w: NOT regexp_matches(w, '[\p{{Nd}}²³¹⁰-⁹₀-₉]'))"
 _RUNS = (
     """
-WITH r AS (SELECT DISTINCT rec_id, coalesce(environment.host, '') AS host, event_ts, log FROM custom_fluentd WHERE log IS NOT NULL AND log <> ''),
-w AS (SELECT rec_id, host, event_ts, log, """
+WITH r AS (SELECT DISTINCT rec_id, coalesce(environment.host, '') AS host, event_ts, level, log FROM custom_fluentd WHERE log IS NOT NULL AND log <> ''),
+w AS (SELECT rec_id, host, event_ts, level, log, """
     + _WORDS.format("log")
     + """ AS ws FROM r),
 s AS (SELECT *, CASE WHEN ws = lag(ws) OVER o THEN 0 ELSE 1 END AS starts FROM w WINDOW o AS (PARTITION BY host ORDER BY event_ts, rec_id)),
@@ -152,5 +152,8 @@ FROM t LEFT JOIN c USING (doc_id)"""
 )
 SQL: dict[str, str] = {
     "p4_found": _RUNS + "SELECT lo AS lo_rec_id, hi AS hi_rec_id FROM n WHERE n >= 3",
+    "p4_events": _RUNS
+    + """SELECT host, rec_id, event_ts AS started_at, CASE WHEN n >= 3 THEN n ELSE 1 END AS n_records, CASE WHEN n >= 3 THEN (epoch_us(t1) - epoch_us(t0)) / 1e6 ELSE 0.0 END AS duration_s, level, log
+FROM g JOIN n USING (host, run) WHERE n < 3 OR starts = 1""",
     "p8_found": f"SELECT doc_id FROM ({_SHARES}) WHERE repeated_share >= 0.30",
 }

@@ -204,6 +204,7 @@ def collapsed(df: DataFrame, entity: str | Column, at: str | Column, key: str |
 
     Columns: entity, key (of the first record), started_at, n_records, duration_s, and the `carry` columns of the first record.
     """
+    kind = df.select(F.col(at) if isinstance(at, str) else at).schema[0].dataType
     r = runs(df, entity, at, key, text, min_run=min_run, carry=carry, **limits)
     whole = r.select("entity", "n", "members", F.when(F.col("n") >= min_run, F.array(F.struct(F.col("first_id").alias("id"), F.col("first_at").alias("at"), "carry"))).otherwise(F.col("members")).alias("events"), (F.col("last_at") - F.col("first_at")).alias("span"))
     rows = whole.select("entity", "n", "span", F.explode("events").alias("e"))
@@ -211,7 +212,7 @@ def collapsed(df: DataFrame, entity: str | Column, at: str | Column, key: str |
     return rows.select(
         "entity",
         F.col("e.id").alias("key"),
-        F.when(F.col("e.at") > -(2**62), F.timestamp_micros("e.at")).alias("started_at"),
+        F.when(F.col("e.at") > -(2**62), F.timestamp_micros("e.at")).cast(kind).alias("started_at"),
         F.when(long, F.col("n")).otherwise(F.lit(1)).cast("bigint").alias("n_records"),
         F.when(long, F.col("span") / F.lit(1e6)).otherwise(F.lit(0.0)).alias("duration_s"),
         *[F.col(f"e.carry.{c}").alias(c) for c in carry],
