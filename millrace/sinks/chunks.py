@@ -69,11 +69,13 @@ def pack(events: DataFrame, output: Output, *, batch: int = 0, ordered: bool = T
     """(output, tag, chunk_id, n_records, data) from (source, order, tag, data).
 
     Records of a tag come in order of arrival inside a part, and a tag may span many parts: ranges of (tag, source, order) are packed apart, so that a
-    tag with most records doesn't make one long task.
+    tag with most records doesn't make one long task. Without ``ordered`` nothing is shuffled: each part packs what it has, tag by tag, in the order it comes.
     """
     ship(events.sparkSession)
+    if not ordered:
+        return _pack_in_place(events, output, batch)
     limits, kind, mode, name = LIMITS[output.type], output.type, output.message_mode, output.name
-    rows = events.repartitionByRange("tag", SOURCE, ORDER).sortWithinPartitions("tag", SOURCE, ORDER) if ordered else events
+    rows = events.repartitionByRange("tag", SOURCE, ORDER).sortWithinPartitions("tag", SOURCE, ORDER)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, n = TaskContext.get().partitionId(), 0
@@ -108,6 +110,48 @@ def pack(events: DataFrame, output: Output, *, batch: int = 0, ordered: bool = T
     return rows.select("tag", "data").mapInPandas(run, "output string, tag string, chunk_id string, n_records bigint, data binary")
 
 
+#: Bytes of all tags together that a part holds before it closes its open chunks.
+HELD_BYTES = 64 << 20
+
+
+def _pack_in_place(events: DataFrame, output: Output, batch: int) -> DataFrame:
+    limits, kind, mode, name = LIMITS[output.type], output.type, output.message_mode, output.name
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, n, total = TaskContext.get().partitionId(), 0, 0
+        held: dict[str, tuple[list[bytes], int]] = {}
+
+        def close(tag: str) -> dict:
+            nonlocal n, total
+            records, size = held.pop(tag)
+            total -= size
+            c = chunk_id(batch, part, n, limits.suffix)
+            n += 1
+            return {"output": name, "tag": tag, "chunk_id": c, "n_records": len(records), "data": build(kind, mode, tag or "", c, records)}
+
+        for f in frames:
+            out: list[dict] = []
+            for tag, data in zip(f["tag"].tolist(), f["data"].tolist()):
+                records, size = held.get(tag, ([], limits.first))
+                if records and ((limits.max_records is not None and len(records) >= limits.max_records) or size + len(data) + limits.each > limits.max_bytes):
+                    out.append(close(tag))
+                    records, size = [], limits.first
+                if not records:
+                    total += size
+                records.append(bytes(data))
+                grown = size + len(data) + limits.each
+                total += grown - size
+                held[tag] = (records, grown)
+                if total > HELD_BYTES:
+                    out += [close(t) for t in sorted(held, key=str)]
+            if out:
+                yield pd.DataFrame(out)
+        if held:
+            yield pd.DataFrame([close(t) for t in sorted(held, key=str)])
+
+    return events.select("tag", "data").mapInPandas(run, "output string, tag string, chunk_id string, n_records bigint, data binary")
+
+
 def decode(kind: str, data: bytes) -> list:
     """The records of a chunk: [tag, time, fields] of the forward output, objects of the API output."""
     if kind == "datadog":

@@ -94,6 +94,22 @@ def test_many_chunks_keep_order(spark, monkeypatch):
     assert len({c["chunk_id"] for c in got}) == len(got)
 
 
+def test_packing_in_place(spark, monkeypatch):
+    monkeypatch.setitem(chunks.LIMITS, "datadog", chunks.Limits(300, 5, 1, 1, ".dd"))
+    rows = [("s", i, f"t{i % 3}", json.dumps({"i": i, "x": "y" * (i % 70)}).encode()) for i in range(500)]
+    df = spark.createDataFrame(rows, f"{SOURCE} string, {ORDER} long, tag string, data binary").coalesce(1)
+    got = chunks.pack(df, API, ordered=False).collect()
+    seen = {}
+    for c in sorted(got, key=lambda c: c["chunk_id"]):
+        assert c["n_records"] <= 5
+        seen.setdefault(c["tag"], []).extend(e["i"] for e in chunks.decode("datadog", bytes(c["data"])))
+    assert seen == {f"t{k}": list(range(k, 500, 3)) for k in range(3)} and len({c["chunk_id"] for c in got}) == len(got)
+    for k in range(3):
+        sizes = [len(d) for _, i, t, d in rows if t == f"t{k}"]
+        assert sum(c["tag"] == f"t{k}" for c in got) == len(plain_groups(sizes, chunks.LIMITS["datadog"]))
+    assert chunks.pack(df.limit(0), API, ordered=False).count() == 0
+
+
 @settings(max_examples=200)
 @given(st.recursive(st.none() | st.booleans() | st.integers(-(2**63), 2**64 - 1) | st.text(max_size=40) | st.binary(max_size=40) | st.floats(allow_nan=False), lambda x: st.lists(x, max_size=20) | st.dictionaries(st.text(max_size=5), x, max_size=20), max_leaves=30))
 def test_msgpack_round_trip(x):
