@@ -1,7 +1,8 @@
 """Text decoded with the wrong character encoding: found with one automaton of garbled sequences, restored in place.
 
 Every pair (encoding the text had, encoding it was read with) gives the sequences its characters turn into. All of them
-go into one Aho-Corasick automaton; only the matched spans of a text change, whatever is right around them stays.
+go into one Aho-Corasick automaton; only the matched spans of a text change, whatever is right around them stays. Of UTF-8
+the automaton holds the first two bytes of every sequence, and a match counts where the bytes from there on are valid.
 
 Null gives (false, null), an empty text (false, ''). A text can be garbled twice; restoring repeats until nothing matches,
 `ROUNDS` times at most. U+FFFD marks a place whose bytes are lost: it is found, and left as it is.
@@ -36,6 +37,14 @@ LATIN = (
 )
 # Fixed values: (had, read as) of two-byte encodings.
 DOUBLE_BYTE = (("cp932", "cp1252"), ("euc_jp", "cp1252"), ("cp932", "mac_roman"), ("cp932", "latin-1"))
+# Fixed values: (had, read as) of two-byte encodings without kana, in the order they are preferred in.
+HAN_HANGUL = (("gbk", "cp1252"), ("gbk", "latin-1"), ("big5", "cp1252"), ("big5", "latin-1"), ("euc_kr", "cp1252"), ("euc_kr", "latin-1"))
+# Two-byte encodings UTF-8 is read as.
+WIDE_READ_AS = ("cp932", "gbk")
+# First bytes of the commoner characters of an encoding, punctuation included.
+COMMON_ROWS = {"gbk": ((0xA1, 0xA4), (0xB0, 0xD8)), "big5": ((0xA1, 0xA4), (0xA4, 0xC7)), "euc_kr": ((0xB0, 0xC9),)}
+# Characters so common that a few words hold some.
+FREQUENT = frozenset("的一是在不了有和人这中大为上个国我以要他时来用们生到作地于出就分对成会可主发年动同工也能下过子说产种面而方后多定行学法所民得经十三之进着等部度家电力里如水化高自二理起小物现实加量都两体制机当使点从业本去把性好应开它合还因由其些然前外天政四日那社义事平形相全表间样与关各重新线内数正心反你明看原又么利比或但质气第向道命此变条只没结解问意建月公无系军很情者最立代想已通并提直题程展五果料象员革位入常文总次品式活设及管特件长求老头基资边流路级少图山统接知较将组见计别她手角期根论运农指几九区强放决西被干做必战先回则任取据处队南给色光门即保治北造百规热领七海口东导器压志世金增争济阶油思术极交受联认六共权收证改清己美再采转更单风切打白教速花带安场身车例真务具万每目至达走积示议声报斗完类八离华名确才科张信马节话米整空元况今集温传土许步群广石记需段研界拉林律叫且究观越织装影算低持音众书布复容儿须际商非验连断深难近矿千周委素技备半办青省列习响约支般史感劳便团往酸历市克何除消构府称太准精值号率族维划选标写存候毛亲快效斯院查江型眼王按格养易置派层片始却专状育厂京识适属圆包火住调满县局照参红细引听该铁价严错误失败请求服务网络用户登录超启停")
 # Letters that words of one language combine. A sequence made of one language's letters may be right text.
 LANGUAGES = (
     "àâæçéèêëîïôœùûüÿ", "äöüß", "áéíñóúü", "ãáâàçéêíóôõúü", "ąćęłńóśźż", "áčďéěíňóřšťúůýžľĺŕôä", "åäöéæø", "çğıöşü", "ăâîșțşţ", "áéíóöőúüű",
@@ -55,7 +64,7 @@ COMMON = {
 class Pair(NamedTuple):
     had: str
     read_as: str
-    kind: str  # utf8, alphabet, latin, double, lost
+    kind: str  # utf8, wide, alphabet, latin, double, han, lost
 
 
 @lru_cache(maxsize=None)
@@ -71,7 +80,7 @@ def garble(text: str, had: str, read_as: str) -> str:
 
 
 def _repertoire() -> list[str]:
-    """Characters whose UTF-8 bytes are looked for."""
+    """Characters whose UTF-8 bytes are taken for garbled text wherever right text could not hold them."""
     spans = [(0xA0, 0x250), (0x370, 0x400), (0x400, 0x530), (0x5D0, 0x5EB), (0x621, 0x64B), (0x1E00, 0x2000), (0x2010, 0x2045), (0x20A0, 0x20C0), (0x2100, 0x2150), (0x2190, 0x2200), (0x2500, 0x2580), (0x25A0, 0x2600), (0x2713, 0x2719), (0x3000, 0x3100), (0xFF01, 0xFFEF)]
     return [chr(c) for a, b in spans for c in range(a, b) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs")]
 
@@ -117,16 +126,14 @@ def automaton():
         if all(e.pair != pair for e in at):
             at.append(Entry(pair, original, strong))
 
-    chars, ideographs = _repertoire(), _ideographs()
+    ideographs = _ideographs()
     for enc in READ_AS:
         pairs.append(Pair("utf-8", enc, "utf8"))
         k, table = len(pairs) - 1, _byte_table(enc)
-        for ch in chars if enc in ("cp1254", "iso8859-2", "iso8859-15", "koi8-r", "cp866", "cp1253") else itertools.chain(chars, ideographs):
-            seq = "".join([table[b] for b in ch.encode()])
-            strong = not _ordinary(seq)
-            add(seq, k, ch, strong)
-            if enc in ("cp1252", "latin-1") and len(seq) > 2 and "\xa0" in seq:  # a no-break space may have become a space since
-                add(seq.replace("\xa0", " "), k, ch, False)
+        for a, b in itertools.product(range(0xC2, 0xF5), range(0x80, 0xC0)):
+            add(table[a] + table[b], k, "", False)
+            if b == 0xA0 and a >= 0xE0 and enc in SPACED:  # a no-break space may have become a space since
+                add(table[a] + " ", k, "", False)
     for had, enc, lang in ALPHABETS:
         pairs.append(Pair(had, enc, "alphabet"))
         k = len(pairs) - 1
@@ -158,6 +165,15 @@ def automaton():
                 add(garble(ch, had, enc), k, ch, "ぁ" <= ch <= "ー")
             except UnicodeEncodeError:
                 continue
+    for had, enc in HAN_HANGUL:
+        pairs.append(Pair(had, enc, "han"))
+        k, table = len(pairs) - 1, _byte_table(enc)
+        for first, last in COMMON_ROWS[had]:
+            for a, b in itertools.product(range(first, last), range(0x40, 0xFF)):
+                if ch := bytes([a, b]).decode(had, "ignore"):
+                    if len(ch) == 1:
+                        add(table[a] + table[b], k, ch, False)
+    pairs += [Pair("utf-8", enc, "wide") for enc in WIDE_READ_AS]
     pairs.append(Pair("", "", "lost"))
     add("�", len(pairs) - 1, "�", True)
     auto = ahocorasick.Automaton()
@@ -167,6 +183,65 @@ def automaton():
     return auto, pairs
 
 
+# Encodings whose no-break space a later step may have made a space.
+SPACED = ("cp1252", "latin-1")
+# Signs that right text sets behind a letter.
+SIGNS = re.compile("[¹²³®™©±¼½¾]")
+
+
+@lru_cache(maxsize=1)
+def _known_characters() -> tuple[frozenset, frozenset]:
+    return frozenset(_repertoire()), frozenset(_ideographs())
+
+
+@lru_cache(maxsize=None)
+def _back_utf8(read_as: str) -> dict[str, int]:
+    table = _byte_table(read_as)
+    return {table[b]: b for b in range(255, 127, -1)}
+
+
+@lru_cache(maxsize=None)
+def _lengths(read_as: str) -> dict[str, int]:
+    """The length of the UTF-8 sequence each character starts."""
+    table = _byte_table(read_as)
+    return {table[b]: 2 if b < 0xE0 else 3 if b < 0xF0 else 4 for b in range(0xC2, 0xF5)}
+
+
+@lru_cache(maxsize=200_000)
+def _utf8_sequence(seq: str, read_as: str) -> tuple[str, bool | None] | None:
+    """The character whose UTF-8 bytes look like ``seq``, and whether right text could not hold it; None where they are not valid.
+
+    Of letters of one language that spell a rarer character ('шиб' in cp866) it is None instead: words are full of them, so
+    even two in a row say nothing, and they are only restored beside surer ones. Such letters in odd case ('шЩи') count
+    where nothing but sequences is around them.
+    """
+    back, spaces = _back_utf8(read_as), 0
+    data = bytearray()
+    for c in seq:
+        if c == " " and read_as in SPACED:
+            spaces += 1
+            data.append(0xA0)
+        elif c in back:
+            data.append(back[c])
+        else:
+            return None
+    try:
+        ch = data.decode()
+    except UnicodeDecodeError:
+        return None
+    usual, ideographs = _known_characters()
+    known = ch in usual or ch in ideographs and read_as not in ("cp1254", "iso8859-2", "iso8859-15", "koi8-r", "cp866", "cp1253")
+    if spaces:
+        return (ch, False) if known or spaces == 1 and not all(c in PLAIN_MARKS or c == " " for c in seq[1:]) else None
+    if known:
+        return ch, not _ordinary(seq)
+    if unicodedata.category(ch) in ("Cn", "Co") or all("─" <= c <= "▟" for c in seq):
+        return ch, None
+    if "\U0001d000" <= ch <= "\U0001ffff":  # their first two bytes ('рџ', 'ЁЯ') start no word
+        return ch, True
+    return ch, not _ordinary(SIGNS.sub("", seq)) or (False if len(seq) == 2 else None)
+
+
 @lru_cache(maxsize=None)
 def _to_bytes(read_as: str) -> dict[str, int]:
     back = {c: b for b, c in reversed(list(enumerate(_byte_table(read_as))))}
@@ -276,6 +351,74 @@ def _double(text: str, pair: Pair) -> list[tuple[int, int, str]]:
     return out
 
 
+@lru_cache(maxsize=None)
+def _units(had: str, read_as: str) -> re.Pattern:
+    """Two or more two-byte characters of ``had`` in a row."""
+    table = _byte_table(read_as)
+    lead = "".join(map(re.escape, table[0x81:0xFF]))
+    trail = "".join(map(re.escape, table[0x40:0x7F] + table[0x80:0xFF]))
+    return re.compile(f"(?:[{lead}][{trail}]){{2,}}")
+
+
+def _han(text: str, pair: Pair) -> list[tuple[int, int, str]]:
+    """Runs that read as Chinese or Korean in the pair's first encoding, in commoner characters, and are no right words."""
+    out, back = [], _to_bytes(pair.read_as)
+    for m in _units(pair.had, pair.read_as).finditer(text):
+        run = m[0]
+        new = _reread(run, pair)
+        if new is None or _ordinary("".join(sorted(set(run)))) or 4 * sum(c.isalpha() for c in run) < len(run) or sum(not c.isascii() for c in run) < 0.6 * len(run):
+            continue
+        rows = COMMON_ROWS[pair.had]
+        common = sum(any(a <= back[c] < b for a, b in rows) for c in run[::2])
+        letters = sum("一" <= c <= "鿿" or "가" <= c <= "힣" for c in new)
+        if letters >= 2 and letters >= 0.6 * len(new) and common >= 0.6 * len(new):
+            out.append((m.start(), m.end(), new))
+    return out
+
+
+def _han_rank(spans: list[tuple[int, int, str]]) -> float:
+    """How well spans read: Chinese by characters that any text holds, Korean by being all Hangul."""
+    new = "".join(o for *_, o in spans)
+    hangul = all("가" <= c <= "힣" for c in new)
+    return 0.2 if hangul else sum(c in FREQUENT for c in new) / len(new)
+
+
+WIDE = re.compile("[\u2010-\uff9f]+")
+
+
+def _wide_sense(new: str, text: str, a: int, b: int) -> bool:
+    """Whether a run that is valid UTF-8 in a two-byte encoding reads as text."""
+    if any(unicodedata.category(c) in ("Cc", "Cn", "Co") for c in new):
+        return False
+    if all(ord(c) >= 0x800 for c in new):
+        return len(new) >= 2 or ord(new) > 0xFFFF
+    letters = {c.lower() for c in new if c.isalpha()}
+    if not all(c.isalpha() or c in PLAIN_MARKS for c in new) or not letters:
+        return False
+    if all("Ͱ" <= c <= "ӿ" for c in letters):
+        return len(new) >= 3 and (new.islower() or new.istitle() or new.isupper()) and max(_hits(new, x)[0] for x in COMMON) >= 1 and _ordinary(new)
+    return _ordinary(new) and (text[a - 1 : a].isascii() and text[a - 1 : a].isalpha() or text[b : b + 1].isascii() and text[b : b + 1].isalpha())
+
+
+def _wide(text: str, pair: Pair) -> list[tuple[int, int, str]]:
+    """Runs whose bytes in a two-byte encoding are UTF-8. A character cut off at their end is lost."""
+    out = []
+    for m in WIDE.finditer(text):
+        try:
+            data = m[0].encode("gb18030" if pair.read_as == "gbk" else pair.read_as)  # what GBK leaves open has private characters there
+        except UnicodeEncodeError:
+            continue
+        try:
+            new, cut = data.decode(), False
+        except UnicodeDecodeError as e:
+            if e.reason != "unexpected end of data" or e.start < 3:
+                continue
+            new, cut = data[: e.start].decode(), True
+        if _wide_sense(new, text, m.start(), m.end()):
+            out.append((m.start(), m.end(), new + "�" * cut))
+    return out
+
+
 LOWER = re.compile(r"[a-z]")
 
 
@@ -285,7 +428,19 @@ def garbled_spans(text: str) -> list[tuple[int, int, str]]:
     by: dict[int, list[tuple[int, int, str, bool]]] = {}
     for end, (n, entries) in auto.iter(text):
         for e in entries:
-            by.setdefault(e.pair, []).append((end + 1 - n, end + 1, e.original, e.strong))
+            pair = pairs[e.pair]
+            if pair.kind == "utf8":
+                a = end + 1 - n
+                b = a + _lengths(pair.read_as)[text[a]]
+                known = _utf8_sequence(text[a:b], pair.read_as) if b <= len(text) else None
+                if known:
+                    by.setdefault(e.pair, []).append((a, b, *known))
+            else:
+                by.setdefault(e.pair, []).append((end + 1 - n, end + 1, e.original, e.strong))
+    if WIDE.search(text):
+        for k, pair in enumerate(pairs):
+            if pair.kind == "wide":
+                by[k] = []
     accepted: dict[int, list[tuple[int, int, str]]] = {}
     for k, hits in by.items():
         pair = pairs[k]
@@ -299,14 +454,25 @@ def garbled_spans(text: str) -> list[tuple[int, int, str]]:
         elif pair.kind == "alphabet":
             if len(hits) >= 2:
                 spans = _alphabet(text, pair, next(x[2] for x in ALPHABETS if x[:2] == pair[:2]))
+        elif pair.kind == "wide":
+            spans = _wide(text, pair)
+        elif pair.kind == "han":
+            if len(hits) >= 2:
+                spans = _han(text, pair)
         elif len(hits) >= 2 or CJK.search(text):
             spans = _double(text, pair)
         if spans:
             accepted[k] = _apart(spans)
+    # What is UTF-8 nearly throughout can be two-byte characters by chance only.
+    valid = {i for k, spans in accepted.items() if pairs[k].kind == "utf8" for a, b, _ in spans for i in range(a, b)}
+    for k in [k for k in accepted if pairs[k].kind == "han" and valid]:
+        places = [i for a, b, _ in accepted[k] for i in range(a, b) if not text[i].isascii()]
+        if sum(i in valid for i in places) >= 0.9 * len(places):
+            del accepted[k]
     # The pair that explains most of the text goes first, and others get what it leaves; of equals the surer kind.
     def first(k: int) -> tuple:
         spans = accepted[k]
-        gain = sum(max(_hits(o, x)[0] for x in COMMON) for *_, o in spans) if pairs[k].kind == "alphabet" else 0
+        gain = sum(max(_hits(o, x)[0] for x in COMMON) for *_, o in spans) if pairs[k].kind == "alphabet" else _han_rank(spans) if pairs[k].kind == "han" else 0
         return -sum(b - a for a, b, _ in spans), -_KINDS[pairs[k].kind], -gain, k
 
     rank = sorted(accepted, key=first)
@@ -320,7 +486,7 @@ def garbled_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(taken)
 
 
-_KINDS = {"utf8": 3, "double": 2, "alphabet": 1, "latin": 0, "lost": 3}
+_KINDS = {"utf8": 3, "wide": 3, "double": 2, "han": 2, "alphabet": 1, "latin": 0, "lost": 3}
 
 
 def _apart(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -337,12 +503,36 @@ def _between(text: str, a: int, b: int) -> bool:
     return 0 < a and b < len(text) and bool(LOWER.match(text[a - 1])) and bool(LOWER.match(text[b])) and (a < 2 or text[a - 2].isascii()) and not re.match(r"[A-Z]", text[b])
 
 
+def _settled(text: str, hits: list[tuple[int, int, str, bool | None]]) -> list[tuple[int, int, str, bool | None]]:
+    """Matches without those letters of words that no surer match touches."""
+    out: list[tuple[int, int, str, bool | None]] = []
+    chain: list[tuple[int, int, str, bool | None]] = []
+    for h in [*sorted(hits, key=lambda x: x[:2]), None]:
+        if chain and (h is None or h[0] != chain[-1][1]):
+            a, b = chain[0][0], chain[-1][1]
+            alone = not any(c and not c.isascii() for c in (text[a - 1 : a], text[b : b + 1]))
+            odd = any(x.islower() and y.isupper() for s in chain for x, y in zip(text[s[0] : s[1]], text[s[0] + 1 : s[1]]))
+            run = text[a:b]
+            mixed = len(chain) > 2 and not run.isalpha() and sum(c.isalpha() for c in run) >= len(chain)
+            if alone and (odd and len(chain) > 1 or mixed):
+                out += [s[:3] + (True,) for s in chain]
+            elif any(s[3] is not None for s in chain):
+                out += chain
+            chain = []
+        if h:
+            chain.append(h)
+    return out
+
+
 def _utf8(text: str, hits: list[tuple[int, int, str, bool]]) -> list[tuple[int, int, str]]:
     """Matches of UTF-8 bytes read otherwise. A sequence that right text could hold needs another beside it, or an odd place."""
+    if any(h[3] is None for h in hits):
+        hits = _settled(text, hits)
     if any(h[3] for h in hits):
         return [h[:3] for h in hits]
-    starts, stops = {h[0] for h in hits}, {h[1] for h in hits}
-    for a, b, _, _ in hits:
+    surer = [h for h in hits if h[3] is not None]
+    starts, stops = {h[0] for h in surer}, {h[1] for h in surer}
+    for a, b, _, _ in surer:
         before, after = text[a - 1 : a], text[b : b + 1]
         lead, rest = text[a], text[a + 1 : b]
         lone = lead.isupper() and not before.isalpha() and not any(c.isalpha() for c in rest) and lead.lower() not in "àéèêôóáí"

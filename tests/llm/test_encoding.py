@@ -49,3 +49,32 @@ def test_repair(spark):
     assert rows == [(1, None, False, None), (2, "", False, ""), (3, "plain", False, "plain"), (4, bad, True, "Größe"), (4, bad, True, "Größe"), (5, "Größe", False, "Größe")]
     assert E.repair(df.limit(0), "log").count() == 0
     assert E.repair(df, F.col("log"), "log", "_mr_text").filter("log").count() == 2  # the new columns take the place of any by their names
+
+
+@pytest.mark.parametrize("text, had, read_as", [
+    ("deploy 🚀 done", "utf-8", "cp1252"), ("서버 연결", "utf-8", "latin-1"), ("เชื่อมต่อ", "utf-8", "cp1252"), ("सर्वर त्रुटि", "utf-8", "mac_roman"), ("错误", "utf-8", "koi8-r"), ("错误", "utf-8", "cp866"),
+    ("连接失败", "utf-8", "iso8859-15"), ("bəli", "utf-8", "cp1252"), ("bəli", "utf-8", "cp437"), ("deploy 🚀 done", "utf-8", "cp1251"), ("deploy 🚀 done", "utf-8", "cp866"), ("შეცდომა", "utf-8", "mac_roman"), ("连接失败", "gbk", "cp1252"), ("连接失败，错误", "gbk", "latin-1"), ("서버 연결이 끊어졌습니다", "euc_kr", "cp1252"), ("連線失敗，請稍後再試", "big5", "latin-1"),
+])
+def test_all_scripts_and_encodings(text, had, read_as):
+    bad = E.garble(text, had, read_as)
+    assert bad != text and E.restore(bad) == (True, text)
+
+
+@pytest.mark.parametrize("text, read_as", [("接続が拒否されました番号", "cp932"), ("错误错误", "gb18030"), ("🚀", "gbk"), ("ошибка", "gbk")])
+def test_read_as_two_bytes(text, read_as):
+    assert E.restore(text.encode().decode(read_as)) == (True, text)
+
+
+def test_cut_off_two_bytes():
+    assert E.restore("謗･邯壹") == (True, "接続�")
+
+
+@pytest.mark.parametrize("text", ["CAFÉ® et CAFÉ™", "╔╗╔╗ │", "сначала щипцами", "Ёлка", "连接失败，错误", "用户登录", "서버 연결이 끊어졌습니다", "🚀 ok", "étés créées", "діє мрії", "サーバーに接続できません", "連線失敗", "ﾃｽﾄ ｻｰﾊﾞ", "à  à  b"])
+def test_right_text_of_all_scripts_is_left_alone(text):
+    assert E.restore(text) == (False, text)
+
+
+def test_twice_garbled_is_not_chinese():
+    text = "Échec de la requête vers contrôle, délai dépassé après 2.781 s"
+    assert E.restore(E.garble(E.garble(text, "utf-8", "cp1252"), "utf-8", "cp1252")) == (True, text)
+    assert E.restore(E.garble("模块 加载 失败", "gbk", "cp1252")) == (True, "模块 加载 失败")
