@@ -13,6 +13,7 @@ from __future__ import annotations
 import itertools
 import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -54,11 +55,25 @@ LANGUAGES = (
 )
 # Marks that may follow or precede a letter in right text.
 PLAIN_MARKS = frozenset("‘’“”„‚«»‹›–—…\xa0 ·°ºª•†‡")
-# The commonest pairs of letters of a language.
-COMMON = {
-    "ru": "ст но то на ен ов ни ра во ко го ро ер по ли от не ре ал ос ор пр ка ел ет ан та ть ит ом ол ес ла ло ри де ла за об од до ки ве ин ис сь тр ва да ми ны ст че ть ся ог ет об ак ан ав ад ат бо вы ду ем ец ещ жу зо зд ие ий ик ил ию ме мо ну ой ок пи пу ру се си со су сл см сч те ти ту уз ук ул ус хр чт ще ые ый ых ск кл рх хи юч тё фа оо сч уж жб".split(),
-    "el": "το ου αι τη τα ια ει τι ησ ος ης κα στ αν τω ων εν πο ρο με τε λα να σε μα αλ σφ φα άλ λμ ύν νδ δε εσ ση ον κό όμ μβ βο υν αρ ερ ορ πα πρ ερ ατ οι ντ ικ ισ μο νο γι σύ κο τό".split(),
-}
+# General text of a language, whose pairs of letters count as common: the Universal Declaration of Human Rights, preamble and first articles.
+GENERAL = {
+    "ru": """Принимая во внимание, что признание достоинства, присущего всем членам человеческой семьи, и равных и неотъемлемых прав их является основой свободы, справедливости и всеобщего мира;
+        и принимая во внимание, что пренебрежение и презрение к правам человека привели к варварским актам, которые возмущают совесть человечества, и что создание такого мира, в котором люди будут иметь свободу слова
+        и убеждений и будут свободны от страха и нужды, провозглашено как высокое стремление людей. Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении
+        друг друга в духе братства. Каждый человек должен обладать всеми правами и всеми свободами, провозглашенными настоящей Декларацией, без какого бы то ни было различия, как-то в отношении расы, цвета кожи, пола, языка, религии,
+        политических или иных убеждений, национального или социального происхождения, имущественного, сословного или иного положения. Каждый человек имеет право на жизнь, на свободу и на личную неприкосновенность.
+        Никто не должен содержаться в рабстве или в подневольном состоянии; рабство и работорговля запрещаются во всех их видах. Никто не должен подвергаться пыткам или жестоким, бесчеловечным или унижающим его достоинство
+        обращению и наказанию. Каждый человек, где бы он ни находился, имеет право на признание его правосубъектности.""",
+    "el": """Επειδή η αναγνώριση της αξιοπρέπειας, που είναι σύμφυτη σε όλα τα μέλη της ανθρώπινης οικογένειας, καθώς και των ίσων και αναπαλλοτρίωτων δικαιωμάτων τους αποτελεί το θεμέλιο της ελευθερίας, της δικαιοσύνης
+        και της ειρήνης στον κόσμο. Επειδή η παραγνώριση και η περιφρόνηση των δικαιωμάτων του ανθρώπου οδήγησαν σε πράξεις βαρβαρότητας, που εξεγείρουν την ανθρώπινη συνείδηση. Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην
+        αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης. Κάθε άνθρωπος δικαιούται να επικαλείται όλα τα δικαιώματα και όλες τις ελευθερίες που
+        προκηρύσσει η παρούσα Διακήρυξη, χωρίς καμία απολύτως διάκριση, ειδικότερα ως προς τη φυλή, το χρώμα, το φύλο, τη γλώσσα, τις θρησκείες, τις πολιτικές ή οποιεσδήποτε άλλες πεποιθήσεις, την εθνική ή κοινωνική καταγωγή,
+        την περιουσία, τη γέννηση ή οποιαδήποτε άλλη κατάσταση. Κάθε άτομο έχει δικαίωμα στη ζωή, την ελευθερία και την προσωπική του ασφάλεια. Κανείς δεν επιτρέπεται να ζει υπό καθεστώς δουλείας, ολικής ή μερικής.
+        Κανείς δεν επιτρέπεται να υποβάλλεται σε βασανιστήρια ούτε σε ποινή ή μεταχείριση σκληρή, απάνθρωπη ή ταπεινωτική. Καθένας, όπου και αν βρίσκεται, έχει δικαίωμα στην αναγνώριση της νομικής του προσωπικότητας.""",
+}
+# Letters words of these languages, and of others of the alphabet, are made of.
+WORD_LETTERS = {"ru": "абвгдежзийклмнопрстуфхцчшщъыьэюяёіїєґўђѓѕјљњћќџ", "el": "αβγδεζηθικλμνξοπρστυφχψωςάέήίόύώϊϋΐΰ"}
+VOWELS = {"ru": frozenset("аеёиоуыэюяіїєј"), "el": frozenset("αεηιουωάέήίόύώϊϋΐΰ")}
 
 
 class Pair(NamedTuple):
@@ -137,13 +152,13 @@ def automaton():
     for had, enc, lang in ALPHABETS:
         pairs.append(Pair(had, enc, "alphabet"))
         k = len(pairs) - 1
-        for two in COMMON[lang]:
-            for form in (two, two.title(), two.upper()):
+        for x, y in itertools.product(WORD_LETTERS[lang], repeat=2):
+            for form in (x + y, x.upper() + y, x.upper() + y.upper()):
                 try:
                     seq = garble(form, had, enc)
                 except UnicodeEncodeError:
                     continue
-                if seq != form:
+                if seq != form and len(seq) == len(form):
                     add(seq, k, form, False)
     letters = "äöüßÄÖÜáéíóúñçàèêëîïôûùâãõąćęłńóśźżřšžčěåæø"
     for had, enc in LATIN:
@@ -274,19 +289,21 @@ def _hits(text: str, lang: str) -> tuple[int, int]:
 
 @lru_cache(maxsize=None)
 def _common(lang: str) -> frozenset:
-    return frozenset(COMMON[lang])
+    """Pairs of letters that occur more than once in general text."""
+    n = Counter(w[i : i + 2] for w in LETTERS.findall(GENERAL[lang].lower()) for i in range(len(w) - 1))
+    return frozenset(x for x, k in n.items() if k > 1)
 
 
 def _odd_case(words: list[str]) -> bool:
     """Words such as 'ъБЗТХЪ': small first, then capitals, which right text hardly has."""
-    return any(len(w) > 2 and w[0].islower() and w[1:].isupper() for w in words)
+    return any(len(w) > 4 and w[0].islower() and w[1:].isupper() for w in words)
 
 
 def _alphabet_spans(text: str, pair: Pair, lang: str) -> list[tuple[int, int, str]]:
     """Spans of words that make sense only when read with the pair's first encoding."""
     back = _to_bytes(pair.read_as)
     out: list[tuple[int, int, str]] = []
-    for m in re.finditer(r"\S+", text):
+    for m in (WORDS_OF_CP866 if pair.had == "cp866" else WORDS).finditer(text):
         w = m[0]
         if w.isascii():
             continue
@@ -305,21 +322,35 @@ def _alphabet_spans(text: str, pair: Pair, lang: str) -> list[tuple[int, int, st
     return out
 
 
+@lru_cache(maxsize=200_000)
+def _alphabet_word(old: str, new: str, lang: str) -> tuple[bool, bool]:
+    """Whether a word makes sense only as ``new``, and whether it may."""
+    words = LETTERS.findall(old)
+    letters = "".join(sorted(set("".join(words))))
+    gain = _hits(new, lang)[0] - max(_hits(old, x)[0] for x in GENERAL)
+    usual = _ordinary("".join(sorted(set(old)))) and (old.islower() or old.istitle() or old.isupper() and new.isupper() or len(old) <= 4 and old[0].islower() and old[1:].isupper())  # 'мРНК'
+    cased = new.islower() or new.istitle() or new.isupper()
+    n = len(new)
+    odd = len(words) != 1 or len(words[0]) != len(old) or not _ordinary("".join(sorted(set(old)))) or _odd_case(words)
+    # Latin letters that no language combines, and that spell a word throughout, need no common pair.
+    spelt = set(new.lower())
+    sure = n >= 4 and not GREEK_CYRILLIC.search(old) and 2 * sum(map(len, words)) >= n and not _ordinary(letters) and spelt <= set(WORD_LETTERS[lang]) and _ordinary("".join(sorted(spelt))) and bool(spelt & VOWELS[lang]) and bool(spelt - VOWELS[lang])
+    return cased and not usual and n >= 3 and (sure or gain >= (1 if odd and words else max(2, n // 2))), cased and not usual
+
+
+GREEK_CYRILLIC = re.compile("[Ͱ-ӿ]")
+WORDS = re.compile(r"\S+")
+WORDS_OF_CP866 = re.compile(r"[^ \t\n\r\f\v]+")  # its letters look like a no-break space and a line end, too
+
+
 def _alphabet(text: str, pair: Pair, lang: str) -> list[tuple[int, int, str]]:
     """Word spans to restore. A word counts by the common letter pairs it gains; once one does, what looks alike goes with it."""
     spans = _alphabet_spans(text, pair, lang)
     good, maybe = [], []
     for a, b, new in spans:
-        old = text[a:b]
-        words = LETTERS.findall(old)
-        had = max(_hits(old, x)[0] for x in COMMON)
-        gain = _hits(new, lang)[0] - had
-        usual = _ordinary("".join(sorted(set(old)))) and (old.islower() or old.istitle() or old.isupper() and new.isupper())
-        cased = new.islower() or new.istitle() or new.isupper()
-        n = len(new)
-        odd = len(words) != 1 or len(words[0]) != len(old) or not _ordinary("".join(sorted(set(old)))) or _odd_case(words)
-        good.append(cased and not usual and n >= 3 and gain >= (1 if odd else max(2, n // 2)))
-        maybe.append(cased and not usual)
+        sense, may = _alphabet_word(text[a:b], new, lang)
+        good.append(sense)
+        maybe.append(may)
     if not any(good):
         return []
     latin = [not re.search("[Ͱ-ӿ]", text[a:b]) for a, b, _ in spans]
@@ -351,6 +382,15 @@ def _double(text: str, pair: Pair) -> list[tuple[int, int, str]]:
     return out
 
 
+def _alphabet_rank(text: str, pair: Pair, spans: list[tuple[int, int, str]]) -> float:
+    """How well words read: by the share of common pairs of letters, in the script of the rest of the text, and not all in capitals."""
+    lang = next(x[2] for x in ALPHABETS if x[:2] == pair[:2])
+    new = " ".join(o for *_, o in spans)
+    n, all_ = _hits(new, lang)
+    beside = re.search("[Ͱ-Ͽ]" if lang == "el" else "[Ѐ-ӿ]", text) is not None
+    return n / max(all_, 1) + 0.5 * beside - 0.5 * new.isupper()
+
+
 @lru_cache(maxsize=None)
 def _units(had: str, read_as: str) -> re.Pattern:
     """Two or more two-byte characters of ``had`` in a row."""
@@ -396,7 +436,7 @@ def _wide_sense(new: str, text: str, a: int, b: int) -> bool:
     if not all(c.isalpha() or c in PLAIN_MARKS for c in new) or not letters:
         return False
     if all("Ͱ" <= c <= "ӿ" for c in letters):
-        return len(new) >= 3 and (new.islower() or new.istitle() or new.isupper()) and max(_hits(new, x)[0] for x in COMMON) >= 1 and _ordinary(new)
+        return len(new) >= 3 and (new.islower() or new.istitle() or new.isupper()) and max(_hits(new, x)[0] for x in GENERAL) >= 1 and _ordinary(new)
     return _ordinary(new) and (text[a - 1 : a].isascii() and text[a - 1 : a].isalpha() or text[b : b + 1].isascii() and text[b : b + 1].isalpha())
 
 
@@ -452,8 +492,7 @@ def garbled_spans(text: str) -> list[tuple[int, int, str]]:
         elif pair.kind == "latin":
             spans = [h[:3] for h in hits if _between(text, h[0], h[1])]
         elif pair.kind == "alphabet":
-            if len(hits) >= 2:
-                spans = _alphabet(text, pair, next(x[2] for x in ALPHABETS if x[:2] == pair[:2]))
+            spans = _alphabet(text, pair, next(x[2] for x in ALPHABETS if x[:2] == pair[:2]))
         elif pair.kind == "wide":
             spans = _wide(text, pair)
         elif pair.kind == "han":
@@ -463,16 +502,26 @@ def garbled_spans(text: str) -> list[tuple[int, int, str]]:
             spans = _double(text, pair)
         if spans:
             accepted[k] = _apart(spans)
-    # What is UTF-8 nearly throughout can be two-byte characters by chance only.
+    # What is UTF-8 nearly throughout can be two-byte characters or words by chance only; words go before rare ideographs.
     valid = {i for k, spans in accepted.items() if pairs[k].kind == "utf8" for a, b, _ in spans for i in range(a, b)}
-    for k in [k for k in accepted if pairs[k].kind == "han" and valid]:
-        places = [i for a, b, _ in accepted[k] for i in range(a, b) if not text[i].isascii()]
-        if sum(i in valid for i in places) >= 0.9 * len(places):
+    words = {i for k, spans in accepted.items() if pairs[k].kind == "alphabet" for a, b, _ in spans for i in range(a, b)}
+
+    def within(a: int, b: int, places: set[int]) -> bool:
+        beyond = [i for i in range(a, b) if not text[i].isascii()]
+        return bool(places) and sum(i in places for i in beyond) >= 0.9 * len(beyond)
+
+    for k in list(accepted):
+        if pairs[k].kind in ("han", "alphabet"):
+            accepted[k] = [x for x in accepted[k] if not within(x[0], x[1], valid)]
+        if pairs[k].kind == "han" and accepted[k] and _han_rank(accepted[k]) < 0.3:
+            accepted[k] = [x for x in accepted[k] if not within(x[0], x[1], words)]
+        if not accepted[k]:
             del accepted[k]
     # The pair that explains most of the text goes first, and others get what it leaves; of equals the surer kind.
     def first(k: int) -> tuple:
         spans = accepted[k]
-        gain = sum(max(_hits(o, x)[0] for x in COMMON) for *_, o in spans) if pairs[k].kind == "alphabet" else _han_rank(spans) if pairs[k].kind == "han" else 0
+        kind = pairs[k].kind
+        gain = _alphabet_rank(text, pairs[k], spans) if kind == "alphabet" else _han_rank(spans) if kind == "han" else 0
         return -sum(b - a for a, b, _ in spans), -_KINDS[pairs[k].kind], -gain, k
 
     rank = sorted(accepted, key=first)

@@ -78,3 +78,15 @@ def test_twice_garbled_is_not_chinese():
     text = "Échec de la requête vers contrôle, délai dépassé après 2.781 s"
     assert E.restore(E.garble(E.garble(text, "utf-8", "cp1252"), "utf-8", "cp1252")) == (True, text)
     assert E.restore(E.garble("模块 加载 失败", "gbk", "cp1252")) == (True, "模块 加载 失败")
+
+
+@pytest.mark.parametrize("text, had", [
+    ("вход: report.txt", "cp1251"), ("ошибка", "cp1251"), ("Ακύρωση 3", "cp1253"), ("Λήψη", "cp1253"), ("файл 7", "koi8-r"), ("Нажмите кнопку", "cp866"), ("Αποθήκευση αρχείου", "cp1253"), ("щётка", "iso8859-5"),
+])
+def test_short_words_of_one_byte_alphabets(text, had):
+    assert E.restore(E.garble(text, had, "cp1252")) == (True, text)
+
+
+@pytest.mark.parametrize("text", ["мРНК и кВт", "“…”—", "ПЫЛЬ", "БВГД", "Îles Çà", "Þórður Ægir", "ΑΒΓ", "Łódź Żółć", "Ñandú ÑOÑO"])
+def test_right_words_of_alphabets_are_left_alone(text):
+    assert E.restore(text) == (False, text)
