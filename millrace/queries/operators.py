@@ -268,8 +268,14 @@ def process_counters(spark: SparkSession, d: str) -> DataFrame:
  UNION ALL SELECT *, 'timeError' FROM x WHERE NOT gone1 AND NOT gone2 AND ts IS NULL AND time_raw <> '')
 SELECT label, app AS key_app, level AS key_level, vhost AS key_vhost, source AS key_source, count(*) AS labelled_count, CAST(sum(n_bytes) AS BIGINT) AS labelled_bytes FROM lab GROUP BY label, app, level, vhost, source""")
 def label_counters(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled records by key set, but for the redacted ones, which the SQL can't tell."""
-    return _run(spark, d).label_counts().filter("label <> 'redacted'")
+    """Labelled records by key set, but for the redacted ones, which the SQL can't tell: `label_counters_all` has them."""
+    return label_counters_all(spark, d).filter("label <> 'redacted'")
+
+
+@query("label_counters_all")
+def label_counters_all(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled records by key set, the redacted ones too. Without SQL, as `step_redact_email`."""
+    return _run(spark, d).label_counts()
 
 
 @query("key_sets", f"SELECT app, level, 'production.' || app AS tag, count(*) AS n FROM {_A} GROUP BY app, level")
@@ -288,25 +294,38 @@ _UNESCAPED = r"CASE WHEN contains(log, chr(10)) THEN lo ELSE replace(replace(rep
 @query("forward_events", _STAGED + f""", o AS (SELECT *, {_LOG_OUT} AS lo FROM x WHERE NOT gone1 AND NOT gone2 AND NOT (cs = 3 AND contains(log, '@')))
 SELECT app_rec_id, 'production.' || app AS tag, coalesce(epoch_us(ts), 0) AS time_us, nullif({_LEVEL_OUT}, '') AS level, nullif(CASE WHEN log <> '' AND class <> '' THEN 'class=' || class || ' ' ELSE '' END || {_UNESCAPED}, '') AS log, app AS env_app, host AS env_host, source AS env_source, vhost AS env_vhost FROM o""")
 def forward_events(spark: SparkSession, d: str) -> DataFrame:
-    """Events of the forward output as columns, but for records of two sources with an @, which redaction may change."""
+    """Events of the forward output as columns, but for records of two sources with an @, which redaction may change: `forward_events_all` has them."""
+    return _without_mail(spark, d, forward_events_all(spark, d))
+
+
+@query("forward_events_all")
+def forward_events_all(spark: SparkSession, d: str) -> DataFrame:
+    """All events of the forward output as columns. Without SQL, as `step_redact_email`."""
     p, r = program(), _run(spark, d)
     e = event_columns(r.passed(), p.schema, p.outputs[0])
-    before = app_records(spark, d).select(SOURCE, ORDER, F.col("log").alias("_before"))
-    plain = ~(F.col("environment.source").isin("mail.log", "sync.log") & F.col("_before").contains("@"))
     env = [F.col(f"environment.{f}").alias(f"env_{f}") for f in ("app", "host", "source", "vhost")]
-    return e.join(before, [SOURCE, ORDER]).filter(plain).select(F.col(ORDER).alias("app_rec_id"), "tag", F.unix_micros("event_ts").alias("time_us"), "level", "log", *env)
+    return e.select(F.col(ORDER).alias("app_rec_id"), "tag", F.unix_micros("event_ts").alias("time_us"), "level", "log", *env)
+
+
+def _without_mail(spark: SparkSession, d: str, events: DataFrame) -> DataFrame:
+    mail = app_records(spark, d).filter(F.col("source").isin("mail.log", "sync.log") & F.col("log").contains("@"))
+    return events.join(mail.select(F.col(ORDER).alias("app_rec_id")), "app_rec_id", "left_anti")
 
 
 @query("api_events", _STAGED + f""", o AS (SELECT *, {_LOG_OUT} AS lo FROM x WHERE NOT gone1 AND NOT gone2 AND NOT (cs = 3 AND contains(log, '@')))
 SELECT app_rec_id, nullif(ddsource_out, '') AS ddsource, CASE WHEN ddtags <> '' THEN ddtags ELSE 'production.' || app END AS ddtags, nullif(CASE WHEN host <> '' THEN host ELSE hostname END, '') AS hostname, nullif({_LEVEL_OUT}, '') AS level, nullif(lo, '') AS log,
  nullif(CASE WHEN vhost <> '' THEN vhost ELSE service END, '') AS service, CAST(coalesce(epoch_us(ts), 0) // 1000 AS VARCHAR) AS timestamp FROM (SELECT *, 'csharp' AS ddsource_out FROM o)""")
 def api_events(spark: SparkSession, d: str) -> DataFrame:
-    """Events of the API output as columns, but for the same records."""
+    """Events of the API output as columns, but for the same records: `api_events_all` has them."""
+    return _without_mail(spark, d, api_events_all(spark, d))
+
+
+@query("api_events_all")
+def api_events_all(spark: SparkSession, d: str) -> DataFrame:
+    """All events of the API output as columns. Without SQL, as `step_redact_email`."""
     p, r = program(), _run(spark, d)
     e = event_columns(r.passed(), p.schema, p.outputs[1])
-    before = app_records(spark, d).select(SOURCE, ORDER, F.col("log").alias("_before"), F.col("source").alias("_source"))
-    plain = ~(F.col("_source").isin("mail.log", "sync.log") & F.col("_before").contains("@"))
-    return e.join(before, [SOURCE, ORDER]).filter(plain).select(F.col(ORDER).alias("app_rec_id"), "ddsource", "ddtags", "hostname", "level", "log", "service", "timestamp")
+    return e.select(F.col(ORDER).alias("app_rec_id"), "ddsource", "ddtags", "hostname", "level", "log", "service", "timestamp")
 
 
 def _chunks(r: pipeline.Result, index: int) -> DataFrame:

@@ -19,3 +19,26 @@ def test_query_without_sql_runs(spark, data, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_events_and_labels_of_redacted_records(spark, data):
+    """The queries over all records, held against a scanner where they go beyond those with SQL."""
+    from collections import Counter
+
+    from tests.test_text import scan
+
+    rows = spark.read.parquet(f"{data}/app_records.parquet").distinct().collect()
+    mail = {r["app_rec_id"]: r for r in rows if r["source"] in ("mail.log", "sync.log") and "@" in (r["log"] or "")}
+    assert any(scan(r["log"]) != r["log"] for r in mail.values())
+    for name in ("forward_events", "api_events"):
+        some, every = core.QUERIES[name](spark, data).collect(), core.QUERIES[f"{name}_all"](spark, data).collect()
+        assert sorted(map(str, some)) == sorted(str(e) for e in every if e["app_rec_id"] not in mail)
+        redacted = {e["app_rec_id"]: e["log"] for e in every if e["app_rec_id"] in mail}
+        assert redacted.keys() == mail.keys() and len(every) == len(some) + len(mail)
+        if name == "api_events":
+            assert redacted == {k: scan(r["log"]) for k, r in mail.items()}
+        else:
+            assert all("REDACTED" in redacted[k] for k, r in mail.items() if scan(r["log"]) != r["log"])
+    want = Counter((r["app"], r["level"], r["vhost"] or "", r["source"]) for r in mail.values() if scan(r["log"]) != r["log"])
+    labels = core.QUERIES["label_counters_all"](spark, data).filter("label = 'redacted'").collect()
+    assert {(r["key_app"], r["key_level"], r["key_vhost"], r["key_source"]): r["labelled_count"] for r in labels} == want
