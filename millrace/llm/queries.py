@@ -46,8 +46,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_events(spark: SparkSession, d: str) -> DataFrame:
-    """The records of each host with every run as one event."""
-    e = runs.collapsed(_records(spark, d), "environment.host", "event_ts", "rec_id", "log", min_run=3, carry=["level", "log"])
+    """The records of each host with every run as one event, but for records without text: `p4_events_all` has them."""
+    return _events(spark, d, textless=False)
+
+
+def p4_events_all(spark: SparkSession, d: str) -> DataFrame:
+    """All records of each host with every run as one event."""
+    return _events(spark, d, textless=True)
+
+
+def _events(spark: SparkSession, d: str, textless: bool) -> DataFrame:
+    e = runs.collapsed(_records(spark, d), "environment.host", "event_ts", "rec_id", "log", min_run=3, carry=["level", "log"], textless=textless)
     return e.select(F.col("entity").alias("host"), F.col("key").alias("rec_id"), "started_at", "n_records", "duration_s", "level", "log")
 
 
@@ -125,7 +134,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(_documents(spark, d), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_restored, p4_found, p4_events, p5_found, p5_redacted, p6_pieces, p6_containers, p6_fill, p7_documents, p7_shares, p7_sized_shares, p8_found, p8_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_restored, p4_found, p4_events, p4_events_all, p5_found, p5_redacted, p6_pieces, p6_containers, p6_fill, p7_documents, p7_shares, p7_sized_shares, p8_found, p8_shares)}
 
 _WORDS = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+'), lambda w: NOT regexp_matches(w, '[\p{{Nd}}²³¹⁰-⁹₀-₉]'))"
 _RUNS = (

@@ -199,8 +199,11 @@ def found(df: DataFrame, entity: str | Column, at: str | Column, key: str | Colu
     return runs(df, entity, at, key, text, min_run=min_run, **limits).filter(F.col("n") >= min_run)
 
 
-def collapsed(df: DataFrame, entity: str | Column, at: str | Column, key: str | Column, text: str | Column, *, carry: Sequence[str] = (), min_run: int = 3, **limits) -> DataFrame:
-    """One row per event: a run of at least `min_run` records as one event, any other record unchanged.
+def collapsed(df: DataFrame, entity: str | Column, at: str | Column, key: str | Column, text: str | Column, *, carry: Sequence[str] = (), min_run: int = 3, textless: bool = False, **limits) -> DataFrame:
+    """One row per event: a run of at least `min_run` records as one event, any other record with a text unchanged.
+
+    With `textless`, records whose text is null or empty are events of their own as well, each key once; they neither belong
+    to a run nor end one. Without it they are left out.
 
     Columns: entity, key (of the first record), started_at, n_records, duration_s, and the `carry` columns of the first record.
     """
@@ -209,7 +212,7 @@ def collapsed(df: DataFrame, entity: str | Column, at: str | Column, key: str |
     whole = r.select("entity", "n", "members", F.when(F.col("n") >= min_run, F.array(F.struct(F.col("first_id").alias("id"), F.col("first_at").alias("at"), "carry"))).otherwise(F.col("members")).alias("events"), (F.col("last_at") - F.col("first_at")).alias("span"))
     rows = whole.select("entity", "n", "span", F.explode("events").alias("e"))
     long = F.col("n") >= min_run
-    return rows.select(
+    events = rows.select(
         "entity",
         F.col("e.id").alias("key"),
         F.when(F.col("e.at") > -(2**62), F.timestamp_micros("e.at")).cast(kind).alias("started_at"),
@@ -217,3 +220,13 @@ def collapsed(df: DataFrame, entity: str | Column, at: str | Column, key: str |
         F.when(long, F.col("span") / F.lit(1e6)).otherwise(F.lit(0.0)).alias("duration_s"),
         *[F.col(f"e.carry.{c}").alias(c) for c in carry],
     )
+    if not textless:
+        return events
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    t = col(text)
+    rest = df.filter(t.isNull() | (t == "")).select(
+        F.coalesce(col(entity), F.lit("")).alias("entity"), col(key).cast("bigint").alias("key"), col(at).alias("started_at"), F.lit(1).cast("bigint").alias("n_records"), F.lit(0.0).alias("duration_s"), *carry
+    )
+    # As in runs: a record that occurs again has the same entity, time and key, and a null key is a record of its own.
+    once = rest.filter("key is not null").dropDuplicates(["entity", "started_at", "key"])
+    return events.unionByName(once).unionByName(rest.filter("key is null"))

@@ -87,3 +87,18 @@ def test_edges(spark):
 def test_agglomerate():
     assert list(R.agglomerate(np.array([1.0, 0.2, 0.9, 1.0]), 0.8)) == [0, 0, 1, 1, 1]
     assert R.similarity("a b c d", "a b c e") == 0.75 and R.similarity("a b", "b a") < 1.0 and R.similarity("", "") == 1.0
+
+
+def test_collapsed_with_records_without_text(spark):
+    rows = [*sample(9), ("b", None, None, None, "z", "info"), ("b", None, None, None, "z", "info")]
+    df = frame(spark, rows)
+    out = R.collapsed(df, "host", "ts", "id", "log", carry=["level", "log"], textless=True).collect()
+    distinct = {r[2] for r in rows if r[2] is not None}
+    assert sum(r["n_records"] for r in out) == len(distinct) + 2
+    bare = [r for r in out if not r["log"]]
+    assert sorted(r["key"] for r in bare if r["key"] is not None) == sorted({r[2] for r in rows if r[2] is not None and not r[3]})
+    assert all((r["n_records"], r["duration_s"], r["level"]) == (1, 0.0, "info") for r in bare)
+    times = {r[2]: (r[0] or "", r[1], r[3]) for r in rows}
+    assert all((r["entity"], r["started_at"], r["log"]) == times[r["key"]] for r in bare if r["key"] is not None)
+    some = R.collapsed(df, "host", "ts", "id", "log", carry=["level", "log"]).collect()
+    assert sorted(map(str, some)) == sorted(str(r) for r in out if r["log"])
