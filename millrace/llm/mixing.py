@@ -1,8 +1,10 @@
 """Records of several sources mixed so that each makes up its target share of the tokens, none used more often than allowed.
 
-Temperature mixing: the weight of a source is its natural share of the tokens raised to an exponent, on the way from the natural shares (0)
-to the targets (1); the exponent is bisected to the largest for which no source exceeds its repetitions. With targets given as
-shares and not as a temperature, keeping the shares and giving up size is the other way to meet that limit, and the default.
+Temperature mixing: source token shares are raised to an exponent and normalised, and the exponent is bisected. Here the targets are shares of their own, so what is
+raised is how far each target lies from the natural share: exponent 0 gives the natural shares, 1 the targets, and with even targets what lies between is the plain
+temperature (natural shares to the power 1 - exponent). The exponent is the largest for which no source exceeds its repetitions. With
+``keep="entropy"`` plain natural shares are raised, to the exponent whose weights are as even as the targets. Both give mixes of the wanted size, as far as all sources
+together allow it; ``keep="shares"`` holds the targets instead and gives up size.
 
 The weights are realised as budgeted block permutations: a source's texts are all used as often as its budget allows, and the
 rest of the budget takes the first blocks of a permutation by hash, of which the last is opened until the budget is met.
@@ -64,40 +66,65 @@ def between(natural: list[float], targets: list[float], exponent: float) -> list
     return [r / total if total else 0.0 for r in raised]
 
 
-def budgets(targets: list[Target], tokens: dict[str, int], all_tokens: int, keep: str = "shares") -> list[tuple[Target, float, float]]:
-    """(target, weight, tokens to take) of each source of one mix.
-
-    Sources without tokens get nothing, and the others share by their targets. ``keep="shares"`` holds the shares and lowers the size of the mix until every
-    source suffices; ``keep="size"`` holds the size and moves the weights towards the natural shares, as little as it takes.
+def _bisect(fits, good: float, bad: float) -> float:
+    """The exponent nearest to `bad` that fits; `good` does."""
+    for _ in range(60):
+        mid = (good + bad) / 2
+        good, bad = (mid, bad) if fits(mid) else (good, mid)
+    return good
+
+
+def filled(weights: list[float], caps: list[float], size: float) -> list[float]:
+    """Tokens by weight that add up to `size`, none above its cap: what a source can't give the others give, by their weights. `size` is no more than all caps."""
+    out, open_ = [0.0] * len(caps), [i for i, w in enumerate(weights) if w > 0]
+    left = size
+    while open_ and left > 0:
+        total = sum(weights[i] for i in open_)
+        full = [i for i in open_ if left * weights[i] / total >= caps[i]]
+        if not full:
+            for i in open_:
+                out[i] = left * weights[i] / total
+            break
+        for i in full:
+            out[i] = caps[i]
+        left = size - sum(out)
+        open_ = [i for i in open_ if i not in full]
+    return out
+
+
+def budgets(targets: list[Target], tokens: dict[str, int], all_tokens: int, keep: str = "size") -> tuple[list[tuple[Target, float, float]], float]:
+    """((target, weight, tokens to take) of each source of one mix, exponent).
+
+    Sources without tokens get nothing, and the others share by their targets. ``keep="size"`` holds the size and moves the weights from the targets towards the natural shares,
+    as little as the repetitions ask for; where even the natural shares need too many, each such source gives all it may and the others the rest. ``keep="entropy"`` raises the natural
+    shares to the exponent at which their entropy is that of the targets, and from there towards 1 as the repetitions ask. ``keep="shares"`` holds the target shares and lowers
+    the size of the mix until every source suffices.
     """
-    if keep not in ("shares", "size"):
-        raise ValueError("keep is shares or size")
-    caps = [t.repeats * tokens.get(t.source, 0) for t in targets]
+    if keep not in ("shares", "size", "entropy"):
+        raise ValueError("keep is size, entropy or shares")
+    caps = [float(t.repeats * tokens.get(t.source, 0)) for t in targets]
     live = [t.share if c > 0 else 0.0 for t, c in zip(targets, caps)]
     total = sum(live)
     if not total:
-        return [(t, 0.0, 0.0) for t in targets]
+        return [(t, 0.0, 0.0) for t in targets], 1.0
     goal = [x / total for x in live]
     wanted = max(t.size_factor for t in targets) * all_tokens
     if keep == "shares":
         size = min([wanted, *[c / g for c, g in zip(caps, goal) if g > 0]])
-        return [(t, g, g * size) for t, g in zip(targets, goal)]
+        return [(t, g, g * size) for t, g in zip(targets, goal)], 1.0
     here = sum(tokens.get(t.source, 0) for t, g in zip(targets, goal) if g > 0)
     natural = [tokens.get(t.source, 0) / here if g > 0 else 0.0 for t, g in zip(targets, goal)]
     size = min(wanted, sum(c for c, g in zip(caps, goal) if g > 0))
-    fits = lambda w: all(x * size <= c * (1 + 1e-12) for x, c in zip(w, caps))
-    if fits(goal):
-        weights = goal
+    if keep == "size":
+        shape, start = lambda e: between(natural, goal, e), 1.0
+        plain = 0.0
     else:
-        lo, hi = 0.0, 1.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if fits(between(natural, goal, mid)) else (lo, mid)
-        weights = between(natural, goal, lo)
-        # Where even the natural shares need too many repetitions, each source gives what it can.
-        if not fits(weights):
-            return [(t, w, min(w * size, c)) for t, w, c in zip(targets, weights, caps)]
-    return [(t, w, w * size) for t, w in zip(targets, weights)]
+        shape, start = lambda e: temperature(natural, e), exponent_for_entropy(natural, entropy(goal))
+        plain = 1.0
+    fits = lambda e: all(x * size <= c * (1 + 1e-12) for x, c in zip(shape(e), caps))
+    exponent = start if fits(start) else _bisect(fits, plain, start) if fits(plain) else plain
+    weights = shape(exponent)
+    return [(t, w, x) for t, w, x in zip(targets, weights, filled(weights, caps, size))], exponent
 
 
 def read_targets(table: DataFrame) -> list[Target]:
@@ -131,8 +158,8 @@ def _open(budget_column: str):
     return run
 
 
-def mix(sizes: DataFrame, key: str, targets: list[Target], *, keep: str = "shares") -> tuple[DataFrame, DataFrame]:
-    """(chosen, plan). Chosen: mix_id, `key`, source, n_uses, n_tokens, for every text used at least once. Plan: mix_id, source, target_share, weight, wanted_tokens (of the mix), planned_tokens (of the source).
+def mix(sizes: DataFrame, key: str, targets: list[Target], *, keep: str = "size") -> tuple[DataFrame, DataFrame]:
+    """(chosen, plan). Chosen: mix_id, `key`, source, n_uses, n_tokens, for every text used at least once. Plan: mix_id, source, target_share, exponent (of the mix), weight, wanted_tokens (of the mix), planned_tokens (of the source).
 
     ``sizes`` has `key`, source and n_tokens, and is read several times, so it should be a written table; `key` identifies a text. Texts without tokens are never chosen. A null source matches no target.
     A source is short of its budget by less than the smallest unused text of the block it ends in.
@@ -150,14 +177,15 @@ def mix(sizes: DataFrame, key: str, targets: list[Target], *, keep: str = "share
     for name in dict.fromkeys(t.mix for t in targets):
         own = [t for t in targets if t.mix == name]
         wanted = max(t.size_factor for t in own) * all_tokens
-        for t, weight, take in budgets(own, tokens, all_tokens, keep):
+        shared, exponent = budgets(own, tokens, all_tokens, keep)
+        for t, weight, take in shared:
             have = tokens.get(t.source, 0)
             full = min(t.repeats, int(take / have + 1e-9)) if have else 0
             room = take - full * have if full < t.repeats else 0.0
             n1 = min(BLOCKS, texts.get(t.source, 0) // BLOCK_TEXTS + 1)
             n2 = min(BLOCKS, texts.get(t.source, 0) // n1 // BLOCK_TEXTS + 1)
-            plan.append((len(plan), t.mix, t.source, t.share, weight, wanted, take, full, float(max(0.0, room)), n1, n2))
-    schema = "pair int, mix_id string, source string, target_share double, weight double, wanted_tokens double, planned_tokens double, full int, room double, n1 long, n2 long"
+            plan.append((len(plan), t.mix, t.source, t.share, exponent, weight, wanted, take, full, float(max(0.0, room)), n1, n2))
+    schema = "pair int, mix_id string, source string, target_share double, exponent double, weight double, wanted_tokens double, planned_tokens double, full int, room double, n1 long, n2 long"
     planned = spark.createDataFrame(plan, schema)
     # MAX_TARGETS rows at most.
     r = rows.join(F.broadcast(planned.filter("planned_tokens > 0").select("pair", "mix_id", "source", "full", "room", "n1", "n2")), "source")
@@ -184,7 +212,7 @@ def mix(sizes: DataFrame, key: str, targets: list[Target], *, keep: str = "share
     first = F.col("b1_last").isNull() | (F.col("b1") < F.col("b1_last")) | ((F.col("b1") == F.col("b1_last")) & (F.col("b2_last").isNull() | (F.col("b2") < F.col("b2_last"))))
     uses = F.col("full") + F.when(F.col("room") <= 0, 0).when(first | F.col("opened").isNotNull(), 1).otherwise(0)
     chosen = marked.select("mix_id", F.col("key").alias(key), "source", uses.alias("n_uses"), "n_tokens").filter("n_uses > 0")
-    return chosen, planned.select("mix_id", "source", "target_share", "weight", "wanted_tokens", "planned_tokens")
+    return chosen, planned.select("mix_id", "source", "target_share", "exponent", "weight", "wanted_tokens", "planned_tokens")
 
 
 def shares(chosen: DataFrame, plan: DataFrame) -> DataFrame:

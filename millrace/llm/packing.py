@@ -9,6 +9,7 @@ and repeated as long as texts last: the plan is small too. Each text finds its c
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -46,7 +47,7 @@ def length_buckets(counts: np.ndarray, n_buckets: int) -> np.ndarray:
     best = np.full(m + 1, np.inf)
     best[1:] = padding(np.zeros(m, int), np.arange(1, m + 1))
     best[0] = 0
-    cuts = [np.zeros(m + 1, int)]
+    cuts = [np.zeros(m + 1, np.int32)]
     for _ in range(1, n_buckets):
         new, cut = np.full(m + 1, np.inf), np.zeros(m + 1, int)
         new[0] = 0
@@ -68,7 +69,7 @@ def length_buckets(counts: np.ndarray, n_buckets: int) -> np.ndarray:
             left = np.stack([lo, mid - 1, c0, at[where]], 1)[mid - 1 >= lo]
             right = np.stack([mid + 1, hi, at[where], c1], 1)[hi >= mid + 1]
             jobs = np.concatenate([left, right])
-        cuts.append(cut)
+        cuts.append(cut.astype(np.int32))
         best = new
     out, e = [], m
     for cut in reversed(cuts):
@@ -161,14 +162,18 @@ def pack(sizes: DataFrame, key: str, packs: Sequence[tuple[str, int]], *, n_buck
     each = by_size.select("size", "count", F.explode(caps).alias("p")).select("size", "count", "p.pack", "p.cap")
     rest = F.pmod("size", "cap")
     parts = F.filter(F.array(F.struct(F.col("cap").alias("len"), (F.floor(F.col("size") / F.col("cap")) * F.col("count")).cast("bigint").alias("n")), F.struct(rest.alias("len"), F.when((rest > 0) | (F.col("size") == 0), F.col("count")).otherwise(F.lit(0)).alias("n"))), lambda x: x["n"] > 0)
-    histogram = each.select("pack", F.explode(parts).alias("x")).groupBy("pack", F.col("x.len").alias("len")).agg(F.sum("x.n").alias("n")).collect()  # a row per pack and size up to the capacity at most
-    plans = []
-    for i, (_, c) in enumerate(packs):
-        counts = np.zeros(int(c) + 1, np.int64)
-        for r in histogram:
-            if r["pack"] == i:
-                counts[r["len"]] += r["n"]
-        plans.append(plan(counts, int(c), n_buckets, across))
+    # A row per pack and size up to the capacity at most: each pack is planned in a task of its own.
+    histogram = each.select("pack", F.explode(parts).alias("x")).groupBy("pack", F.col("x.len").alias("len")).agg(F.sum("x.n").alias("n"))
+    capacities = [int(c) for _, c in packs]
+
+    def planned(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        capacity = capacities[key[0]]
+        counts = np.zeros(capacity + 1, np.int64)
+        counts[f["len"].to_numpy()] = f["n"].to_numpy()
+        return pd.DataFrame({"pack": [key[0]], "plan": [pickle.dumps(plan(counts, capacity, n_buckets, across))]})
+
+    made = {r["pack"]: pickle.loads(bytes(r["plan"])) for r in histogram.groupBy("pack").applyInPandas(planned, "pack int, plan binary").collect()}
+    plans = [made[i] if i in made else plan(np.zeros(c + 1, np.int64), c, n_buckets, across) for i, c in enumerate(capacities)]
     shared = spark.sparkContext.broadcast(plans)
 
     def bucket_of(pack: pd.Series, size: pd.Series) -> pd.DataFrame:

@@ -46,18 +46,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_events(spark: SparkSession, d: str) -> DataFrame:
-    """The records of each host with every run as one event, but for records without text: `p4_events_all` has them."""
-    return _events(spark, d, textless=False)
-
-
-def p4_events_all(spark: SparkSession, d: str) -> DataFrame:
-    """All records of each host with every run as one event."""
-    return _events(spark, d, textless=True)
+    """All records of each host with every run as one event; records without text are events of their own."""
+    e = runs.collapsed(_records(spark, d), "environment.host", "event_ts", "rec_id", "log", min_run=3, carry=["level", "log"])
+    return e.select(F.col("entity").alias("host"), F.col("key").alias("rec_id"), "started_at", "n_records", "duration_s", "level", "log")
 
 
-def _events(spark: SparkSession, d: str, textless: bool) -> DataFrame:
-    e = runs.collapsed(_records(spark, d), "environment.host", "event_ts", "rec_id", "log", min_run=3, carry=["level", "log"], textless=textless)
-    return e.select(F.col("entity").alias("host"), F.col("key").alias("rec_id"), "started_at", "n_records", "duration_s", "level", "log")
+def p4_near_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of records that share at least 0.7 of their words, with no hour of silence inside."""
+    r = runs.found(_records(spark, d), "environment.host", "event_ts", "rec_id", "log", min_run=3, min_similarity=0.7, max_gap=3600.0)
+    return r.select(F.col("entity").alias("host"), F.col("lo").alias("lo_rec_id"), F.col("hi").alias("hi_rec_id"), F.col("n").alias("n_records"), ((F.col("last_at") - F.col("first_at")) / F.lit(1e6)).alias("duration_s"))
 
 
 def _names(spark: SparkSession, d: str):
@@ -111,18 +108,23 @@ def _mix(spark: SparkSession, d: str, keep: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p7_documents(spark: SparkSession, d: str) -> DataFrame:
-    """The documents of each mix with their number of uses: shares as wanted, the mix smaller where a source doesn't suffice."""
-    return _mix(spark, d, "shares")[0]
+    """The documents of each mix with their number of uses: mixes of the wanted size, shares as wanted where the repetitions suffice."""
+    return _mix(spark, d, "size")[0]
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Actual shares of those mixes."""
-    return mixing.shares(*_mix(spark, d, "shares"))
+    """Target, weight and actual share of every source of those mixes, and their sizes."""
+    return mixing.shares(*_mix(spark, d, "size"))
 
 
-def p7_sized_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Actual shares of mixes of the wanted size, whose weights move towards the natural shares where a source doesn't suffice."""
-    return mixing.shares(*_mix(spark, d, "size"))
+def p7_entropy_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of mixes whose weights are natural shares raised to one exponent, as even as the targets are (the same entropy)."""
+    return mixing.shares(*_mix(spark, d, "entropy"))
+
+
+def p7_held_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of mixes that hold their target shares and get smaller where a source doesn't suffice."""
+    return mixing.shares(*_mix(spark, d, "shares"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -131,10 +133,16 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """The repeated share of every document."""
-    return repetition.repetition(_documents(spark, d), "doc_id", "text")
+    return repetition.repetition(_documents(spark, d), "doc_id", "text").select("doc_id", "n_words", "repeated_words", "repeated_share")
+
+
+def p8_longest(spark: SparkSession, d: str) -> DataFrame:
+    """The longest stretch of words that every document repeats, with the documents over both limits marked."""
+    r = repetition.repetition(_documents(spark, d), "doc_id", "text")
+    return r.select("doc_id", "longest_repeat", ((F.col("repeated_share") >= 0.30) | (F.col("longest_repeat") > 50)).alias("over_limits"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_restored, p4_found, p4_events, p4_events_all, p5_found, p5_redacted, p6_pieces, p6_containers, p6_fill, p7_documents, p7_shares, p7_sized_shares, p8_found, p8_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_restored, p4_found, p4_events, p4_near_runs, p5_found, p5_redacted, p6_pieces, p6_containers, p6_fill, p7_documents, p7_shares, p7_entropy_shares, p7_held_shares, p8_found, p8_shares, p8_longest)}
 
 _WORDS = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+'), lambda w: NOT regexp_matches(w, '[\p{{Nd}}²³¹⁰-⁹₀-₉]'))"
 _RUNS = (
@@ -163,6 +171,8 @@ SQL: dict[str, str] = {
     "p4_found": _RUNS + "SELECT lo AS lo_rec_id, hi AS hi_rec_id FROM n WHERE n >= 3",
     "p4_events": _RUNS
     + """SELECT host, rec_id, event_ts AS started_at, CASE WHEN n >= 3 THEN n ELSE 1 END AS n_records, CASE WHEN n >= 3 THEN (epoch_us(t1) - epoch_us(t0)) / 1e6 ELSE 0.0 END AS duration_s, level, log
-FROM g JOIN n USING (host, run) WHERE n < 3 OR starts = 1""",
+FROM g JOIN n USING (host, run) WHERE n < 3 OR starts = 1
+UNION ALL SELECT DISTINCT coalesce(environment.host, ''), rec_id, event_ts, 1, 0.0, level, log FROM custom_fluentd WHERE log IS NULL OR log = ''""",
+    "p8_shares": _SHARES,
     "p8_found": f"SELECT doc_id FROM ({_SHARES}) WHERE repeated_share >= 0.30",
 }

@@ -90,13 +90,33 @@ def test_temperature():
 def test_budgets():
     t = [M.Target("m", "a", 0.5, 1, 1.0), M.Target("m", "b", 0.4, 2, 1.0), M.Target("m", "none", 0.1, 9, 1.0)]
     tokens_ = {"a": 900, "b": 100}
-    for keep in ("shares", "size"):
-        got = M.budgets(t, tokens_, 1000, keep)
+    for keep in ("shares", "size", "entropy"):
+        got, _ = M.budgets(t, tokens_, 1000, keep)
         assert got[2][2] == 0 and all(x <= c.repeats * tokens_.get(c.source, 0) + 1e-6 for c, _, x in got)
-    shares = M.budgets(t, tokens_, 1000, "shares")
-    assert shares[0][2] / shares[1][2] == pytest.approx(5 / 4) and shares[1][2] == pytest.approx(200)
-    size = M.budgets(t, tokens_, 1000, "size")
-    assert size[0][2] + size[1][2] == pytest.approx(1000)
+    held, _ = M.budgets(t, tokens_, 1000, "shares")
+    assert held[0][2] / held[1][2] == pytest.approx(5 / 4) and held[1][2] == pytest.approx(200)
+    sized, e = M.budgets(t, tokens_, 1000)
+    assert sized[0][2] + sized[1][2] == pytest.approx(1000) and sized[1][2] == pytest.approx(200) and 0 < e < 1
+    loose = [M.Target("m", "a", 0.5, 9, 1.0), M.Target("m", "b", 0.5, 9, 1.0)]
+    reached, e = M.budgets(loose, tokens_, 1000)
+    assert e == 1.0 and reached[0][2] == pytest.approx(500)
+    even, e = M.budgets(loose, tokens_, 1000, "entropy")
+    assert e == pytest.approx(0, abs=1e-6) and even[0][2] == pytest.approx(500, rel=1e-3)
+    # What is wanted is more than even natural shares allow: each source gives all it may.
+    most, _ = M.budgets([M.Target("m", "a", 0.5, 1, 5.0), M.Target("m", "b", 0.5, 9, 5.0)], tokens_, 1000)
+    assert [x for _, _, x in most] == pytest.approx([900, 900])
+
+
+@settings(max_examples=200)
+@given(st.lists(st.tuples(st.floats(0.01, 1), st.floats(0, 100)), min_size=1, max_size=6), st.floats(0, 1))
+def test_filled(parts, how_full):
+    weights, caps = [w for w, _ in parts], [c for _, c in parts]
+    size = how_full * sum(caps)
+    got = M.filled(weights, caps, size)
+    assert sum(got) == pytest.approx(size, abs=1e-6) and all(x <= c + 1e-9 for x, c in zip(got, caps))
+    # Sources below their caps keep their proportions.
+    rates = [x / w for x, w, c in zip(got, weights, caps) if x < c - 1e-9]
+    assert not rates or max(rates) - min(rates) < 1e-6 * max(1.0, max(rates))
 
 
 @pytest.mark.parametrize("blocks", [1, 3, 4096])
@@ -106,10 +126,12 @@ def test_mix(spark, monkeypatch, blocks):
     rows = [(i, "big" if i % 10 else "small", 1 + i % 7) for i in range(2000)] + [(9001, "big", 0), (9002, None, 5), (9003, "big", None), (9004, "other", 50)]
     df = spark.createDataFrame([(*r, "z") for r in rows], "id long, source string, n_tokens long, mix_id string")
     targets = [M.Target("x", "big", 0.5, 1, 0.2), M.Target("x", "small", 0.5, 3, 0.2), M.Target("y", "small", 0.9, 2, 1.0), M.Target("y", "absent", 0.1, 2, 1.0)]
-    chosen, plan = M.mix(df, "id", targets)
+    chosen, plan = M.mix(df, "id", targets, keep="shares")
     got = {r["mix_id"] + r["source"]: r for r in M.shares(chosen, plan).collect()}
     assert abs(got["xbig"]["actual_share"] - 0.5) < 0.01 and got["xbig"]["most_uses"] == 1 and got["xsmall"]["most_uses"] <= 3
     assert got["yabsent"]["tokens"] == 0 and got["ysmall"]["most_uses"] == 2 and got["ysmall"]["actual_share"] == 1.0
+    sized = {r["mix_id"] + r["source"]: r for r in M.shares(*M.mix(df, "id", targets)).collect()}
+    assert sized["xbig"]["mix_tokens"] == pytest.approx(sized["xbig"]["wanted_tokens"], rel=0.01) and sized["xbig"]["most_uses"] == 1 and sized["xsmall"]["most_uses"] <= 3
     assert chosen.groupBy("mix_id", "id").count().filter("count > 1").count() == 0
     assert M.mix(df.limit(0), "id", targets)[0].count() == 0 and M.mix(df, "id", [])[0].count() == 0
 
