@@ -24,9 +24,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    """How many and what share of each source's records are cut."""
-    once = _records(spark, d).select("rec_id", "log", F.col("environment.source").alias("source")).dropDuplicates(["rec_id"])
-    return truncation.report(once, "rec_id", "log", "source")
+    """How many and what share of each source's records are cut: the records of `p1_found`, by the same model."""
+    return truncation.report(_records(spark, d), "rec_id", "log", "environment.source")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

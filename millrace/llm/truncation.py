@@ -4,18 +4,23 @@ No text comes with a label. Texts of a bounded sample serve as intact ones, and
 texts of their source pile up, with a mark of truncation or without, makes the positives. Some of the sample are really cut: texts
 that a model trained on the others takes for cut are set aside, and the last model is trained on the rest. It scores every text.
 
-Features: the closing characters and words, alone and with the words a text opens with; open brackets and quotes; whether the
-last word is one the sample knows; how often texts that open alike end alike; whether the length is one where texts of the source pile up.
+Features: the closing characters and words, alone and with the words a text opens with; open brackets and quotes; how often the
+last word stands inside texts; how alike texts that open alike end, and what share of them end as this one; whether the length is one where texts of the source pile up.
+Only the weights come from the sample. Counts are of all texts, and enter as shares, so that they mean the same at every size.
+
+Every text is read once. What its features depend on (its parts) is a few tokens, and texts share them: tasks write the parts of each text as a
+number, and what the number stands for once. Counts are joined to distinct parts, these are scored, and the scores joined back to the texts by number.
 """
 
 from __future__ import annotations
 
 import random
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +28,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.encoding import restore
-from millrace.session import ship
+from millrace.session import ship, written
 
-#: Bounds of the sample that the model is trained on: rows, and bytes of text.
+#: Bounds of the sample that the weights are trained on: rows, and bytes of text, both on average.
 SAMPLE_ROWS, SAMPLE_BYTES = 40_000, 48_000_000
-#: Cut copies of each intact text, and passes over all, for a full sample.
+#: Cut copies of each intact text.
 COPIES = 3
 N_HASH = 1 << 18
-EPOCHS, FOLDS, ROUNDS = 6, 3, 2
+#: Gradient steps of a model and rows of each, parts of the sample, and rounds of setting aside.
+STEPS, STEP_ROWS, FOLDS, ROUNDS = 700, 2048, 3, 3
 #: Share of cut texts assumed in training: cut copies weigh as much together.
-PRIOR = 0.15
+PRIOR = 0.25
+#: A text is set aside from this log-odds of being cut on.
+ASIDE = -1.0
 #: A text counts as cut from this probability on.
 THRESHOLD = 0.5
+#: From this probability on a text beyond ASCII is judged by what it stands for, should it be garbled: a garbled ending looks new.
+DOUBT = 0.1
+#: Limits whose cut copies the sample is given, the most frequent ones. Texts at any limit, however many there are, have the feature.
+COPIED_LIMITS = 20_000
+#: Limits that are broadcast; more of them are joined by shuffle.
+BROADCAST_LIMITS = 100_000
 # Marks that programs leave where they cut.
 MARKS = ("...", "…", "...", "…", "...", "…", "…", "…", " ...", " …", " ... (cut)", " [..]", "[...]", " [...]", "<snip>", " <snip>", "\n  ... [truncated]", " [truncated]", "(truncated)", " ... [cut]", "...(more)", " (more)", "[cut]", "~")
 
@@ -80,135 +94,106 @@ def _coarse_keys(tail: tuple) -> tuple[str, str]:
     return _tail_keys(tail)
 
 
-def _bucket(n: int) -> str:
-    return "0" if n <= 0 else "1" if n < 3 else "2" if n < 10 else "3"
+def number(*parts: object) -> int:
+    """64 bits that stand for values, alike in every process."""
+    return int.from_bytes(blake2b(repr(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-class Endings:
-    """How texts that open alike end, in the distinct texts of the sample."""
+def parts(source: str, text: str, limit: bool) -> tuple:
+    """What the features of a text depend on: texts with the same parts score the same."""
+    low = text.lower()
+    body = low.rstrip()
+    head = tuple([_shape(t) for t in _TOKEN.findall(low[:90].translate(_ZERO))[:6]])
+    end = body[-70:].translate(_ZERO)
+    tokens = _TOKEN.findall(end)
+    last = tokens[-1] if tokens else ""
+    opened = (text.count('"') % 2, min(max(text.count("{") - text.count("}"), 0), 2), min(max(text.count("[") - text.count("]"), 0), 1), min(max(text.count("(") - text.count(")"), 0), 1))
+    return source, head, tuple([_shape(t) for t in tokens[-4:]]), _RUN.sub("0", end[-24:])[-4:], last if last.isalpha() else "", len(body) < len(low), opened, limit, body[-1:].isalnum()
+
+
+#: Features that need no counts, and all.
+N_FIXED, N_FEATURES = 24, 34
+
+
+def fixed(p: tuple) -> list[int]:
+    """Numbers of the features that need no counts."""
+    source, head, tail, end, _, spaced, opened, limit, alnum = p
+    (h2, h4), (t1, t2), h1, h5 = _head_keys(head), _tail_keys(tail), " ".join(head[:1]), " ".join(head[3:4])
+    t3, o, lim = " ".join(tail[-3:]), "%d%d%d%d" % opened, "L" if limit else "-"
+    names = (
+        "b", f"s{source}", f"t1{t1}", f"t2{t2}", f"t3{t3}", f"e1{end[-1:]}", f"e2{end[-2:]}", f"e3{end[-3:]}", f"e4{end}", f"o{o}", f"os{o}{source}", f"l{lim}", f"la{lim}{source}{end[-1:] if not alnum else 'a'}", f"lo{lim}{o}",
+        f"sp{spaced}{alnum}", f"h2{h2}|{t1}", f"h2{h2}|{t2}", f"h4{h4}|{t1}", f"h4{h4}|{t2}", f"hh{h2}", f"h1{h1}", f"h5{h5}", f"he{h2}{end[-1:]}", f"h4e{h4}{end[-1:]}",
+    )
+    return [crc32(x.encode("utf-8", "surrogatepass")) & (N_HASH - 1) for x in names]
+
+
+def keys(p: tuple) -> tuple[list[int], list[int]]:
+    """(openings, endings after them) whose counts the features need: for each of two openings and each of two endings."""
+    heads, ends = [], []
+    for i, h in enumerate(_head_keys(p[1])):
+        for j, t in enumerate(_coarse_keys(p[2])):
+            heads.append(number(i, j, h))
+            ends.append(number(i, j, h, t))
+    return heads, ends
+
+
+def word_key(word: str) -> int:
+    return number("word", word)
 
-    def __init__(self) -> None:
-        self.counts: dict[tuple[int, int, str, str], int] = {}
-        self.heads: dict[tuple[int, int, str], tuple[int, float]] = {}
-
-    def learn(self, parts: list[tuple]) -> None:
-        counts: Counter = Counter()
-        for p in parts:
-            for i, h in enumerate(_head_keys(p[1])):
-                for j, t in enumerate(_coarse_keys(p[2])):
-                    counts[i, j, h, t] += 1
-        self.counts = dict(counts)
-        total: Counter = Counter()
-        alone: Counter = Counter()
-        for (i, j, h, _), n in counts.items():
-            total[i, j, h] += n
-            alone[i, j, h] += n == 1
-        self.heads = {k: (n, alone[k] / n) for k, n in total.items() if n >= 5}
-
-    def features(self, head: tuple, tail: tuple, own: bool) -> list[str]:
-        """For each pair of keys: how often the opening occurs, how often endings of it are new, and how often this one occurs in other texts."""
-        out = []
-        for i, h in enumerate(_head_keys(head)):
-            for j, t in enumerate(_coarse_keys(tail)):
-                n, alone = self.heads.get((i, j, h), (0, 1.0))
-                c = self.counts.get((i, j, h, t), 0) - own
-                size = "0" if n < 20 else "1" if n < 100 else "2"
-                out.append(f"E{i}{j}{size}{'0' if alone < 0.02 else '1' if alone < 0.06 else '2' if alone < 0.15 else '3' if alone < 0.4 else '4'}{_bucket(c)}")
-        return out
 
+def _context(p: tuple) -> int:
+    """The parts that counted features are combined with, in one number: source, length of the last word, whether it ends in a letter or digit, whether at a limit."""
+    return (crc32(p[0].encode("utf-8", "surrogatepass")) & 0xFFFFF) << 5 | min(len(p[4]), 5) << 2 | bool(p[8]) << 1 | bool(p[7])
 
-class Features:
-    """Feature numbers of a text. `known` counts words inside the sample's texts."""
-
-    def __init__(self, known: dict[str, int], endings: Endings, sample: frozenset = frozenset()) -> None:
-        self.known, self.endings, self.sample = known, endings, sample
-
-    def parts(self, source: str, text: str, limit: bool) -> tuple:
-        """What the features depend on: texts with the same parts score the same."""
-        own = zlib.crc32(text.encode()) in self.sample
-        low = text.lower().translate(_ZERO)
-        body = low.rstrip()
-        head = tuple(_shape(t) for t in _TOKEN.findall(low[:90])[:6])
-        tail = tuple(_shape(t) for t in _TOKEN.findall(body[-70:])[-4:])
-        quotes = text.count('"')
-        curly, square, round_ = text.count("{") - text.count("}"), text.count("[") - text.count("]"), text.count("(") - text.count(")")
-        last = _TOKEN.findall(body[-40:])[-1:]
-        opened = (quotes % 2, min(max(curly, 0), 2), min(max(square, 0), 1), min(max(round_, 0), 1))
-        return source, head, tail, _RUN.sub("0", body[-24:])[-4:], last[0] if last and last[0].isalpha() else "", len(body) < len(low), opened, limit, body[-1:].isalnum(), own
-
-    def numbers(self, p: tuple) -> list[int]:
-        source, head, tail, end, word, spaced, opened, limit, alnum, own = p
-        n = self.known.get(word, 0)
-        seen = f"{'0' if n == 0 else '1' if n < 3 else '2' if n < 20 else '3'}{min(len(word), 5)}"
-        (h2, h4), (t1, t2), h1, h5 = _head_keys(head), _tail_keys(tail), " ".join(head[:1]), " ".join(head[3:4])
-        t3 = " ".join(tail[-3:])
-        o = "".join(map(str, opened))
-        lim = "L" if limit else "-"
-        e = self.endings.features(head, tail, own)
-        crc = zlib.crc32
-        return [
-            crc(f.encode()) & (N_HASH - 1)
-            for f in (
-                "b", f"s{source}", f"t1{t1}", f"t2{t2}", f"t3{t3}", f"e1{end[-1:]}", f"e2{end[-2:]}", f"e3{end[-3:]}", f"e4{end}", f"k{seen}", f"ks{seen}{source}", f"o{o}", f"os{o}{source}", f"l{lim}", f"la{lim}{source}{end[-1:] if not alnum else 'a'}",
-                f"lo{lim}{o}", f"sp{spaced}{alnum}", f"h2{h2}|{t1}", f"h2{h2}|{t2}", f"h4{h4}|{t1}", f"h4{h4}|{t2}", f"hh{h2}", f"h1{h1}", f"h5{h5}", f"he{h2}{end[-1:]}", f"h4e{h4}{end[-1:]}", *e, f"EE{e[1]}{e[3]}", f"EF{e[0]}{e[2]}", f"Ek{e[1]}{e[3]}{seen[0]}{alnum}", f"El{e[1]}{lim}{alnum}",
-            )
-        ]
+
+def _steps(x: np.ndarray, bounds: list[float]) -> np.ndarray:
+    return np.searchsorted(bounds, x, side="right")
+
+
+def counted(context: np.ndarray, count: np.ndarray, n: np.ndarray, square: np.ndarray, words: np.ndarray, total: float) -> np.ndarray:
+    """Numbers of the features that need counts, a row per text.
+
+    For each pair of opening and ending: how many other texts open so, how likely two of them end alike, and what share ends as this one. And how many times in `total` texts
+    the last word stands inside one.
+    """
+    share = count / np.maximum(n, 1)
+    alike = square / np.maximum(n * (n - 1), 1)
+    e = (_steps(n, [5, 20, 100]) * 7 + _steps(alike, [1e-3, 1e-2, 0.05, 0.2, 0.5])) * 8 + _steps(share, [1e-12, 1e-4, 3e-4, 1e-3, 3e-3, 1e-2, 5e-2])
+    seen = _steps(words / max(total, 1.0), [1e-12, 1e-5, 7.5e-5, 5e-4])
+    source, length, alnum, limit = context >> 5, context >> 2 & 7, context >> 1 & 1, context & 1
+    k = seen * 8 + length
+    codes = [k, k << 20 | source, *e.T, e[:, 1] << 10 | e[:, 3], e[:, 0] << 10 | e[:, 2], (e[:, 1] << 10 | e[:, 3]) << 4 | seen << 1 | alnum, e[:, 1] << 2 | limit << 1 | alnum]
+    with np.errstate(over="ignore"):
+        mixed = [(c.astype(np.uint64) + np.uint64(i + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) for i, c in enumerate(codes)]
+        return np.stack([((m ^ (m >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(40)).astype(np.int64) & (N_HASH - 1) for m in mixed], 1)
 
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int = 3) -> np.ndarray:
     """Weights of a logistic regression over feature numbers, by gradient steps that shrink feature by feature."""
+    seen = np.bincount(x.ravel(), minlength=N_HASH)
+    # What a single row shows is no rule: such features share one number, which stays 0.
+    used = np.flatnonzero(seen >= 2)
+    place = np.full(N_HASH, len(used))
+    place[used] = np.arange(len(used))
+    x = place[x]
     rng = np.random.default_rng(seed)
-    w, sq = np.zeros(N_HASH), np.full(N_HASH, 1e-4)
-    for _ in range(min(3 * EPOCHS, max(EPOCHS, EPOCHS * SAMPLE_ROWS * (COPIES + 1) // len(y)))):
-        order = rng.permutation(len(y))
-        for a in range(0, len(y), 512):
-            rows = order[a : a + 512]
-            f = x[rows]
-            p = 1 / (1 + np.exp(-np.clip(w[f].sum(1), -30, 30)))
-            d = np.repeat(weight[rows] * (y[rows] - p), f.shape[1])
-            at, inverse = np.unique(f, return_inverse=True)
-            g = np.bincount(inverse.ravel(), d, len(at)) / 32 - 5e-6 * w[at]
-            sq[at] += g * g
-            w[at] += 0.4 * g / np.sqrt(sq[at])
-    return w
-
-
-class Model:
-    """Hashed logistic regression."""
-
-    def __init__(self, features: Features) -> None:
-        self.features = features
-        self.weights: list[float] = []
-        self._scores: dict[tuple, float] = {}
-
-    def __getstate__(self) -> dict:
-        at = [i for i, w in enumerate(self.weights) if w]
-        return {"features": self.features, "at": np.array(at, np.int32), "w": np.array([self.weights[i] for i in at], np.float32)}
-
-    def __setstate__(self, s: dict) -> None:
-        self.__init__(s["features"])
-        w = np.zeros(N_HASH, np.float32)
-        w[s["at"]] = s["w"]
-        self.weights = w.tolist()
-
-    def probability(self, source: str, text: str, limit: bool) -> float:
-        p = self._probability(source, text, limit)
-        if p > 0.1 and not text.isascii():  # a garbled ending looks new; what it stands for may not
-            fixed = restore(text)[1]
-            if fixed != text:
-                return self._probability(source, fixed, limit)
-        return p
-
-    def _probability(self, source: str, text: str, limit: bool) -> float:
-        p = self.features.parts(source, text, limit)
-        s = self._scores.get(p)
-        if s is None:
-            w = self.weights
-            z = sum([w[i] for i in self.features.numbers(p)])
-            if len(self._scores) > 200_000:
-                self._scores.clear()
-            s = self._scores[p] = float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
-        return s
+    w, sq = np.zeros(len(used) + 1), np.full(len(used) + 1, 1e-4)
+    order, at = rng.permutation(len(y)), 0
+    for _ in range(STEPS if len(y) else 0):
+        rows = order[at : at + STEP_ROWS]
+        at += STEP_ROWS
+        if at >= len(order):
+            order, at = rng.permutation(len(y)), 0
+        f = x[rows]
+        p = 1 / (1 + np.exp(-np.clip(w[f].sum(1), -30, 30)))
+        d = np.repeat(weight[rows] * (y[rows] - p), f.shape[1])
+        g = np.bincount(f.ravel(), d, len(w)) / 32 - 5e-6 * w
+        g[-1] = 0.0
+        sq += g * g
+        w += 0.4 * g / np.sqrt(sq)
+    out = np.zeros(N_HASH)
+    out[used] = w[:-1]
+    return out
 
 
 def cut(text: str, limits: list[int], rng: random.Random) -> tuple[str, bool] | None:
@@ -226,48 +211,8 @@ def cut(text: str, limits: list[int], rng: random.Random) -> tuple[str, bool] |
     return text[:n].rstrip() + mark if mark and rng.random() < 0.5 else text[:n] + mark, False
 
 
-def train(rows: list[tuple[str, str, bool]], limits: dict[str, list[int]], seed: int = 11) -> Model:
-    """A model from (source, text, at a limit) of texts taken as intact."""
-    rng = random.Random(seed)
-    rows = sorted(set(rows))
-    known: Counter[str] = Counter()
-    for _, text, _ in rows:
-        known.update({m[0] for m in re.finditer(r"[^\W\d_]+(?=[^\w])", text.lower())})
-    endings = Endings()
-    f = Features({w: n for w, n in known.items() if n > 1}, endings, frozenset(zlib.crc32(t.encode()) for _, t, _ in rows))
-    model = Model(f)
-    parts = [f.parts(s, restore(t)[1] if not t.isascii() else t, at) for s, t, at in rows]
-    endings.learn(parts)
-    whole = [f.numbers(p) for p in parts]
-    pieces = []
-    copies = max(COPIES, min(12, COPIES * SAMPLE_ROWS // max(1, len(rows))))  # a small table gives more copies of each text
-    for s, t, _ in rows:
-        for _ in range(copies):
-            c = cut(t, limits.get(s, []), rng)
-            if c and c[0].strip() != t.strip():
-                pieces.append(f.numbers(f.parts(s, restore(c[0])[1] if not c[0].isascii() else c[0], c[1])))
-    if not whole or not pieces:
-        model.weights = [0.0] * N_HASH
-        return model
-    x0, x1 = np.array(whole), np.array(pieces)
-    unsure = np.array([bool(_MARKED.search(t)) for _, t, _ in rows])
-    keep = ~unsure if not unsure.all() else np.ones(len(x0), bool)
-    rng2 = np.random.default_rng(seed)
-    fold0, fold1 = rng2.integers(0, FOLDS, len(x0)), rng2.integers(0, FOLDS, len(x1))
-
-    def weights(part0: np.ndarray, part1: np.ndarray) -> np.ndarray:
-        n, m = int(part0.sum()), int(part1.sum())
-        return fit(np.concatenate([x0[part0], x1[part1]]), np.r_[np.zeros(n), np.ones(m)], np.r_[np.ones(n), np.full(m, PRIOR * n / max(1, m))])
-
-    if len(x0) >= 20 * FOLDS:
-        for _ in range(ROUNDS):  # a text is judged by a model that has not seen it
-            cut_too = unsure.copy()
-            for k in range(FOLDS):
-                w = weights(keep & (fold0 != k), fold1 != k)
-                cut_too[fold0 == k] |= w[x0[fold0 == k]].sum(1) > -0.4
-            keep = ~cut_too if not cut_too.all() else keep
-    model.weights = weights(keep, np.ones(len(x1), bool)).tolist()
-    return model
+def probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 # Operators
@@ -283,52 +228,242 @@ def limits_of(lengths: DataFrame) -> DataFrame:
     return lengths.join(around, ["source", "n_bytes"], "left").filter((F.col("n") >= 10) & (F.col("n") >= 4 * F.coalesce("usual", F.lit(0.0)))).select("source", "n_bytes")
 
 
-#: Limits kept on the driver and in tasks; beyond that the most frequent lengths stay.
-MAX_LIMITS = 20_000
+#: What a task remembers of parts it wrote, and of words it counts, at most.
+REMEMBERED = 200_000
+_WORD = re.compile(r"[^\W\d_]+(?=\W)")
+_PARTS = "feats array<int>, heads array<bigint>, ends array<bigint>, word bigint, context bigint"
+
+
+class _Writer:
+    """Rows of parts: the number of each text's parts, and what the number stands for where this task didn't say so yet."""
+
+    def __init__(self) -> None:
+        self.said: set[int] = set()
+        self.numbers: list = []
+        self.full: list[list] = [[], [], [], [], []]
+
+    def add(self, p: tuple | None) -> None:
+        if p is None:
+            self.numbers.append(None)
+            for c in self.full:
+                c.append(None)
+            return
+        k = number(p)
+        self.numbers.append(k)
+        if k in self.said:
+            for c in self.full:
+                c.append(None)
+            return
+        if len(self.said) >= REMEMBERED:
+            self.said.clear()
+        self.said.add(k)
+        heads, ends = keys(p)
+        for c, v in zip(self.full, (fixed(p), heads, ends, word_key(p[4]) if p[4] else None, _context(p))):
+            c.append(v)
+
+    def take(self) -> list[pa.Array]:
+        kinds = (pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64())
+        out = [pa.array(self.numbers, pa.int64()), *[pa.array(c, k) for c, k in zip(self.full, kinds)]]
+        self.numbers, self.full = [], [[], [], [], [], []]
+        return out
 
 
-def _score_batches(model):
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, source, doubtful text, parts, words) of (key, source, text, limit); words and how often they stand inside texts come as rows of their own."""
+    out, words = _Writer(), Counter()
+    names = ["key", "source", "text", "parts", "feats", "heads", "ends", "word", "context", "times", "is_text"]
+
+    def flush(like: pa.RecordBatch) -> pa.RecordBatch:
+        n = len(words)
+        none = lambda k: pa.nulls(n, k)
+        cols = [none(like.column(0).type), none(pa.string()), none(pa.string()), none(pa.int64()), none(pa.list_(pa.int32())), none(pa.list_(pa.int64())), none(pa.list_(pa.int64())), pa.array([word_key(w) for w in words], pa.int64()), none(pa.int64()), pa.array(list(words.values()), pa.int64()), pa.array([False] * n)]
+        words.clear()
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
+    last = None
+    for b in batches:
+        last, texts = b, b.column(2).to_pylist()
+        for s, t, at in zip(b.column(1).to_pylist(), texts, b.column(3).to_pylist()):
+            out.add(parts(s, t, at) if t else None)
+        words.update(_WORD.findall("\n".join([t for t in texts if t]).lower()))
+        doubtful = pa.array([t if t and not t.isascii() else None for t in texts], pa.string())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), doubtful, *out.take(), pa.nulls(len(texts), pa.int64()), pa.array([True] * len(texts))], names=names)
+        if len(words) > REMEMBERED:
+            yield flush(b)
+    if last is not None and words:
+        yield flush(last)
+
+
+def _reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of what garbled texts stand for; texts that stand for themselves have none and keep their probability."""
+    out = _Writer()
+    for b in batches:
+        for s, t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            fixed_ = restore(t)[1]
+            out.add(parts(s, fixed_, bool(c & 1)) if fixed_ != t else None)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), *out.take()], names=["key", "source", "probability", "parts", "feats", "heads", "ends", "word", "context"])
+
+
+def _examples(limits):
+    """Training rows of (source, text, limit): the text, and cut copies of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_source = limits.value
+        for b in batches:
+            ids, labels, unsure, out = [], [], [], _Writer()
+            for s, t, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                k = number(s, t)
+                rng = random.Random(k)
+                rows = [(t, at, False)] + [(c[0], c[1], True) for c in (cut(t, by_source.get(s, []), rng) for _ in range(COPIES)) if c and c[0].strip() and c[0].strip() != t.strip()]
+                for i, (x, limit, is_cut) in enumerate(rows):
+                    out.said.clear()
+                    out.add(parts(s, x if x.isascii() else restore(x)[1], limit))
+                    ids.append(number(k, i))
+                    labels.append(is_cut)
+                    unsure.append(not is_cut and bool(_MARKED.search(x)))
+            cols = out.take()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels), pa.array(unsure), *cols[1:]], names=["id", "cut", "unsure", "feats", "heads", "ends", "word", "context"])
+
+    return run
+
+
+class Corpus:
+    """Counts over all texts."""
+
+    def __init__(self, distinct: DataFrame, words: DataFrame) -> None:
+        """From distinct parts with the number of texts that have them (`n`), and words with how often they stand inside texts."""
+        pairs = distinct.select("n", F.explode(F.arrays_zip("heads", "ends")).alias("p"))
+        self.ends = written(pairs.groupBy(F.col("p.heads").alias("head"), F.col("p.ends").alias("at")).agg(F.sum("n").alias("count")))
+        self.heads = self.ends.groupBy("head").agg(F.sum("count").alias("n"), F.sum(F.col("count") * (F.col("count") - 1)).alias("square"))
+        self.words = words.groupBy(F.col("word").alias("at")).agg(F.sum("times").alias("count"))
+        self.total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def counts(self, rows: DataFrame, key: str, own: bool) -> DataFrame:
+        """(key, counts of the four pairs and of the last word) of rows of parts. With `own` each row is one of the texts counted, and leaves itself out."""
+        wanted = rows.select(key, F.posexplode(F.arrays_zip("heads", "ends")).alias("i", "p")).select(key, "i", F.col("p.heads").alias("head"), F.col("p.ends").alias("at"))
+        said = rows.filter("word is not null").select(key, F.lit(4).alias("i"), F.lit(None).cast("bigint").alias("head"), F.col("word").alias("at"))
+        known = self.ends.select("at", "count").unionByName(self.words)
+        found = wanted.join(self.heads, "head", "left").unionByName(said.withColumns({"n": F.lit(None).cast("bigint"), "square": F.lit(None).cast("bigint")})).join(known, "at", "left")
+        one = 1 if own else 0
+        c = F.coalesce("count", F.lit(0))
+        values = {"c": F.greatest(c - one, F.lit(0)), "n": F.greatest(F.coalesce("n", F.lit(0)) - one, F.lit(0)), "s": F.greatest(F.coalesce("square", F.lit(0)) - 2 * one * (c - one), F.lit(0))}
+        columns = [F.max(F.when(F.col("i") == i, v)).alias(f"{name}{i}") for name, v in values.items() for i in range(4)]
+        return found.groupBy(key).agg(*columns, F.max(F.when(F.col("i") == 4, c)).alias("words"))
+
+    def numbered(self, rows: DataFrame, key: str, own: bool) -> DataFrame:
+        """``rows`` with their counts beside them."""
+        return rows.join(self.counts(rows.select(key, "heads", "ends", "word"), key, own), key)
+
+
+_COUNTS = [f"{name}{i}" for name in "cns" for i in range(4)] + ["words"]
+
+
+def _matrix(b: pa.RecordBatch, total: float) -> np.ndarray:
+    """Feature numbers of rows with feats, context and counts."""
+    column = lambda c: b.column(b.schema.names.index(c))
+    feats = column("feats").flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FIXED).astype(np.int64)
+    at = {c: column(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64) for c in _COUNTS}
+    four = lambda name: np.stack([at[f"{name}{i}"] for i in range(4)], 1)
+    return np.concatenate([feats, counted(column("context").to_numpy(zero_copy_only=False).astype(np.int64), four("c"), four("n"), four("s"), at["words"], total)], 1)
+
+
+def _rate(weights, total: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, limits = model.value
+        w = weights.value
         for b in batches:
-            out = []
-            for s, t, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                out.append(m.probability(s, t, (s, n) in limits) if t else 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["key", "source", "probability"])
+            p = probability(w[_matrix(b, total)].sum(1)) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], names=["parts", "probability"])
 
     return run
 
 
+def _train(examples: DataFrame, total: float) -> np.ndarray:
+    """Weights from examples with their counts: folds are judged in tasks by models that haven't seen them, then all that stays is learnt."""
+    spark = examples.sparkSession
+    table = examples.select("cut", "unsure", "id", "feats", "context", *_COUNTS).toArrow()
+    if not table.num_rows:
+        return np.zeros(N_HASH)
+    order = np.argsort(table.column("id").to_numpy(), kind="stable")
+    b = table.combine_chunks().to_batches()[0]
+    x = _matrix(b, total)[order].astype(np.int32)
+    y = b.column(0).to_numpy(zero_copy_only=False)[order].astype(bool)
+    unsure = b.column(1).to_numpy(zero_copy_only=False)[order].astype(bool)
+    fold = np.random.default_rng(11).integers(0, FOLDS, len(y))
+    whole = ~y
+    # The examples of a bounded sample.
+    shared = spark.sparkContext.broadcast((x, y, fold))
+
+    def weights(rows: np.ndarray) -> np.ndarray:
+        x, y, _ = shared.value
+        n, m = int((rows & ~y).sum()), int((rows & y).sum())
+        return fit(x[rows], y[rows].astype(float), np.where(y[rows], PRIOR * n / max(1, m), 1.0)) if n and m else np.zeros(N_HASH)
+
+    def models(jobs: list[tuple[int, np.ndarray]]) -> dict[int, np.ndarray]:
+        packed = [(k, np.packbits(rows).tobytes()) for k, rows in jobs]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    rows = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(shared.value[1])).astype(bool)
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([weights(rows).astype(np.float32).tobytes()], pa.binary())], names=["k", "w"])
+
+        df = spark.createDataFrame(packed, "k int, rows binary").repartition(len(packed), "k")
+        return {r["k"]: np.frombuffer(bytes(r["w"]), np.float32) for r in df.mapInArrow(run, "k int, w binary").collect()}
+
+    keep = whole & ~unsure
+    for _ in range(ROUNDS):
+        made = models([(k, (keep | y) & (fold != k)) for k in range(FOLDS)])
+        aside = unsure.copy()
+        for k, w in made.items():
+            aside |= (fold == k) & (w[x].sum(1) > ASIDE)
+        keep = whole & ~aside
+    return models([(0, keep | y)])[0].copy()
+
+
 def scores(df: DataFrame, key: str, text: str | Column, source: str | Column) -> DataFrame:
     """One row per row of ``df``: `key`, source, probability that the text was cut.
 
-    Null and empty texts have the probability 0. A null source counts as ''. All texts give the lengths where they pile up and all are scored;
-    training takes texts by a hash of their content, `SAMPLE_ROWS` and about `SAMPLE_BYTES` at most. Repeated rows are scored alike; an empty table gives no rows.
+    Null and empty texts have the probability 0. A null source counts as ''. All texts give the lengths where they pile up and the counts, and all are scored;
+    training takes texts by a hash of their content, about `SAMPLE_ROWS` and `SAMPLE_BYTES` at most. Repeated rows are scored alike; an empty table gives no rows.
     """
     spark = df.sparkSession
     ship(spark)
     col = lambda c: F.col(c) if isinstance(c, str) else c
     rows = df.select(F.col(key).alias("key"), F.coalesce(col(source), F.lit("")).alias("source"), col(text).alias("text"), F.octet_length(col(text)).alias("n_bytes"))
-    lengths = rows.filter("n_bytes > 0").groupBy("source", "n_bytes").agg(F.count(F.lit(1)).alias("n"))
-    piled = lengths.persist()
-    try:
-        n, size = piled.agg(F.sum("n"), F.sum(F.col("n") * F.col("n_bytes"))).first()
-        limit_rows = limits_of(piled).join(piled, ["source", "n_bytes"]).orderBy(F.desc("n"), "source", "n_bytes").limit(MAX_LIMITS).collect()
-    finally:
-        piled.unpersist()
-    limits = {(r[0], r[1]) for r in limit_rows}
-    by_source: dict[str, list[int]] = {}
-    for s, b in sorted(limits):
-        by_source.setdefault(s, []).append(b)
-    sample: list = []
-    if n:
-        part = min(1.0, 0.97 * SAMPLE_ROWS / n, SAMPLE_BYTES / size)  # a little less than the bound, so that the limit doesn't cut off the last parts of the table
-        picked = rows.filter((F.col("n_bytes") > 0) & (F.pmod(F.xxhash64("text", "source", "key"), F.lit(1 << 30)) < F.lit(int(part * (1 << 30))))).select("source", "text", "n_bytes")
-        sample = sorted(map(tuple, picked.limit(SAMPLE_ROWS).collect()))
-    model = train([(s, t, (s, b) in limits) for s, t, b in sample], by_source)
-    shared = spark.sparkContext.broadcast((model, limits))
+    lengths = written(rows.filter("n_bytes > 0").groupBy("source", "n_bytes").agg(F.count(F.lit(1)).alias("n")))
+    n, size = lengths.agg(F.sum("n"), F.sum(F.col("n") * F.col("n_bytes"))).first()
+    limits = written(limits_of(lengths).join(lengths, ["source", "n_bytes"]))
+    flags = limits.select("source", "n_bytes", F.lit(True).alias("limit"))
+    if limits.count() <= BROADCAST_LIMITS:
+        flags = F.broadcast(flags)
+    marked = rows.join(flags, ["source", "n_bytes"], "left").select("key", "source", "text", F.coalesce("limit", F.lit(False)).alias("limit"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(_score_batches(shared), f"key {kind}, source string, probability double").withColumnRenamed("key", key)
+    read = written(marked.mapInArrow(_read, f"key {kind}, source string, text string, parts bigint, {_PARTS}, times bigint, is_text boolean"))
+    texts = read.filter("is_text")
+    names = ["feats", "heads", "ends", "word", "context"]
+    distinct = written(texts.filter("parts is not null").groupBy("parts").agg(F.count(F.lit(1)).alias("n"), F.first(F.when(F.col("feats").isNotNull(), F.struct(*names)), ignorenulls=True).alias("f")).select("parts", "n", "f.*"))
+    corpus = Corpus(distinct, read.filter("not is_text").select("word", "times"))
+    by_source: dict[str, list[int]] = {}
+    for r in limits.orderBy(F.desc("n"), "source", "n_bytes").limit(COPIED_LIMITS).collect():
+        by_source.setdefault(r["source"], []).append(r["n_bytes"])
+    part = min(1.0, 0.97 * SAMPLE_ROWS / n, SAMPLE_BYTES / size) if n else 0.0
+    picked = marked.filter((F.octet_length("text") > 0) & (F.pmod(F.xxhash64("text", "source"), F.lit(1 << 30)) < F.lit(int(part * (1 << 30))))).select("source", "text", "limit").distinct()
+    examples = written(picked.mapInArrow(_examples(spark.sparkContext.broadcast(by_source)), f"id bigint, cut boolean, unsure boolean, {_PARTS}"))
+    own = corpus.numbered(examples.filter("not cut"), "id", True)
+    weights = spark.sparkContext.broadcast(_train(own.unionByName(corpus.numbered(examples.filter("cut"), "id", False)), float(corpus.total)))
+
+    def rated(parts_: DataFrame, own: bool) -> DataFrame:
+        return corpus.numbered(parts_, "parts", own).select("parts", "feats", "context", *_COUNTS).mapInArrow(_rate(weights, float(corpus.total)), "parts bigint, probability double")
+
+    first = written(rated(distinct, True).join(distinct.select("parts", "context"), "parts"))
+    doubt = texts.filter("text is not null").select("key", "source", "text", "parts").join(first.filter(F.col("probability") > DOUBT), "parts").select("key", "source", "text", "context", "probability")
+    again = written(doubt.mapInArrow(_reread, f"key {kind}, source string, probability double, parts bigint, {_PARTS}"))
+    restored = again.filter("feats is not null").select("parts", *names).dropDuplicates(["parts"])
+    second = again.filter("parts is not null").select("key", "source", "parts").join(rated(restored, False), "parts").unionByName(again.filter("parts is null").select("key", "source", "parts", "probability"))
+    sure = texts.select("key", "source", "parts", F.col("text").isNotNull().alias("beyond")).join(first.select("parts", "probability"), "parts", "left")
+    sure = sure.filter(~(F.col("beyond") & (F.coalesce("probability", F.lit(0.0)) > DOUBT)))
+    out = sure.select("key", "source", F.coalesce("probability", F.lit(0.0)).alias("probability")).unionByName(second.select("key", "source", "probability"))
+    return out.withColumnRenamed("key", key)
 
 
 def found(df: DataFrame, key: str, text: str | Column, source: str | Column, threshold: float = THRESHOLD) -> DataFrame:
@@ -337,6 +472,7 @@ def found(df: DataFrame, key: str, text: str | Column, source: str | Column, thr
 
 
 def report(df: DataFrame, key: str, text: str | Column, source: str | Column, threshold: float = THRESHOLD) -> DataFrame:
-    """Per source: n_records, n_truncated, share_truncated."""
+    """Per source: n_records, n_truncated, share_truncated. Rows of the same key, source and probability are one record; rows with a null key count one by one."""
     s = scores(df, key, text, source)
-    return s.groupBy("source").agg(F.count(F.lit(1)).alias("n_records"), F.count_if(F.col("probability") >= threshold).alias("n_truncated")).withColumn("share_truncated", F.col("n_truncated") / F.col("n_records"))
+    once = s.filter(F.col(key).isNotNull()).distinct().unionByName(s.filter(F.col(key).isNull()))
+    return once.groupBy("source").agg(F.count(F.lit(1)).alias("n_records"), F.count_if(F.col("probability") >= threshold).alias("n_truncated")).withColumn("share_truncated", F.col("n_truncated") / F.col("n_records"))
