@@ -19,13 +19,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from hashlib import blake2b
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from millrace.llm.encoding import restore
 from millrace.session import ship, written
@@ -33,10 +34,10 @@ from millrace.session import ship, written
 #: Bounds of the sample that the weights are trained on: rows, and bytes of text, both on average.
 SAMPLE_ROWS, SAMPLE_BYTES = 40_000, 48_000_000
 #: Cut copies of each intact text.
-COPIES = 3
+COPIES = 2
 N_HASH = 1 << 18
 #: Gradient steps of a model and rows of each, parts of the sample, and rounds of setting aside.
-STEPS, STEP_ROWS, FOLDS, ROUNDS = 700, 2048, 3, 3
+STEPS, STEP_ROWS, FOLDS, ROUNDS = 450, 2048, 3, 3
 #: Share of cut texts assumed in training: cut copies weigh as much together.
 PRIOR = 0.25
 #: A text is set aside from this log-odds of being cut on.
@@ -56,7 +57,7 @@ MARKS = ("...", "…", "...", "…", "...", "…", "…", "…", " ...", " …",
 _MARKED = re.compile(r"[\[(<]\s*(?:\.{2,}|…|cut|snip|truncated|more)\s*[\])>]\s*\Z")
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 _TAIL = re.compile(r"[^\W_]+|[^\w\s]|_|\s+$")
-_ZERO = str.maketrans("123456789", "000000000")
+_ZERO = bytes.maketrans(b"123456789", b"000000000")
 _RUN = re.compile("0{2,}")
 _HEX = re.compile(r"[0a-f]{4,}")
 
@@ -94,18 +95,23 @@ def _coarse_keys(tail: tuple) -> tuple[str, str]:
     return _tail_keys(tail)
 
 
-def number(*parts: object) -> int:
-    """64 bits that stand for values, alike in every process."""
-    return int.from_bytes(blake2b(repr(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def number(text: str) -> int:
+    """64 bits that stand for a text, alike in every process."""
+    n = xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return n - (1 << 64) if n >> 63 else n
 
 
 def parts(source: str, text: str, limit: bool) -> tuple:
     """What the features of a text depend on: texts with the same parts score the same."""
-    low = text.lower()
+    # Digits are bytes of their own in UTF-8, and replacing bytes is faster than replacing characters.
+    low = text.lower().encode("utf-8", "surrogatepass").translate(_ZERO).decode("utf-8", "surrogatepass")
     body = low.rstrip()
-    head = tuple([_shape(t) for t in _TOKEN.findall(low[:90].translate(_ZERO))[:6]])
-    end = body[-70:].translate(_ZERO)
-    tokens = _TOKEN.findall(end)
+    head = tuple([_shape(m[0]) for m in islice(_TOKEN.finditer(low[:90]), 6)])
+    end = body[-70:]
+    # The first token of a piece may be half of one, so it takes five to have four.
+    tokens = _TOKEN.findall(end[-32:])
+    if len(tokens) < 5:
+        tokens = _TOKEN.findall(end)
     last = tokens[-1] if tokens else ""
     opened = (text.count('"') % 2, min(max(text.count("{") - text.count("}"), 0), 2), min(max(text.count("[") - text.count("]"), 0), 1), min(max(text.count("(") - text.count(")"), 0), 1))
     return source, head, tuple([_shape(t) for t in tokens[-4:]]), _RUN.sub("0", end[-24:])[-4:], last if last.isalpha() else "", len(body) < len(low), opened, limit, body[-1:].isalnum()
@@ -132,13 +138,13 @@ def keys(p: tuple) -> tuple[list[int], list[int]]:
     heads, ends = [], []
     for i, h in enumerate(_head_keys(p[1])):
         for j, t in enumerate(_coarse_keys(p[2])):
-            heads.append(number(i, j, h))
-            ends.append(number(i, j, h, t))
+            heads.append(number(f"{i}{j}{h}"))
+            ends.append(number(f"{i}{j}{h}\n{t}"))
     return heads, ends
 
 
 def word_key(word: str) -> int:
-    return number("word", word)
+    return number(f"word {word}")
 
 
 def _context(p: tuple) -> int:
@@ -191,7 +197,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int = 3) -> np.n
         g[-1] = 0.0
         sq += g * g
         w += 0.4 * g / np.sqrt(sq)
-    out = np.zeros(N_HASH)
+    out = np.zeros(N_HASH, np.float32)
     out[used] = w[:-1]
     return out
 
@@ -238,7 +244,7 @@ class _Writer:
     """Rows of parts: the number of each text's parts, and what the number stands for where this task didn't say so yet."""
 
     def __init__(self) -> None:
-        self.said: set[int] = set()
+        self.said: dict[tuple, int] = {}
         self.numbers: list = []
         self.full: list[list] = [[], [], [], [], []]
 
@@ -248,15 +254,16 @@ class _Writer:
             for c in self.full:
                 c.append(None)
             return
-        k = number(p)
-        self.numbers.append(k)
-        if k in self.said:
+        k = self.said.get(p)
+        if k is not None:
+            self.numbers.append(k)
             for c in self.full:
                 c.append(None)
             return
         if len(self.said) >= REMEMBERED:
             self.said.clear()
-        self.said.add(k)
+        k = self.said[p] = number(repr(p))
+        self.numbers.append(k)
         heads, ends = keys(p)
         for c, v in zip(self.full, (fixed(p), heads, ends, word_key(p[4]) if p[4] else None, _context(p))):
             c.append(v)
@@ -305,24 +312,26 @@ def _reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _examples(limits):
-    """Training rows of (source, text, limit): the text, and cut copies of it."""
+    """Training rows of (source, text, limit, rows): the text, as often as it occurs, and cut copies of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_source = limits.value
         for b in batches:
-            ids, labels, unsure, out = [], [], [], _Writer()
-            for s, t, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                k = number(s, t)
+            ids, labels, unsure, times, out = [], [], [], [], _Writer()
+            for s, t, at, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                k = number(f"{s}\n{t}")
                 rng = random.Random(k)
+                t = t if t.isascii() else restore(t)[1]
                 rows = [(t, at, False)] + [(c[0], c[1], True) for c in (cut(t, by_source.get(s, []), rng) for _ in range(COPIES)) if c and c[0].strip() and c[0].strip() != t.strip()]
                 for i, (x, limit, is_cut) in enumerate(rows):
                     out.said.clear()
-                    out.add(parts(s, x if x.isascii() else restore(x)[1], limit))
-                    ids.append(number(k, i))
+                    out.add(parts(s, x, limit))
+                    times.append(1 if is_cut else n)
+                    ids.append(number(f"{k} {i}"))
                     labels.append(is_cut)
                     unsure.append(not is_cut and bool(_MARKED.search(x)))
             cols = out.take()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels), pa.array(unsure), *cols[1:]], names=["id", "cut", "unsure", "feats", "heads", "ends", "word", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels), pa.array(unsure), pa.array(times, pa.int64()), *cols[1:]], names=["id", "cut", "unsure", "times", "feats", "heads", "ends", "word", "context"])
 
     return run
 
@@ -380,7 +389,7 @@ def _rate(weights, total: float):
 def _train(examples: DataFrame, total: float) -> np.ndarray:
     """Weights from examples with their counts: folds are judged in tasks by models that haven't seen them, then all that stays is learnt."""
     spark = examples.sparkSession
-    table = examples.select("cut", "unsure", "id", "feats", "context", *_COUNTS).toArrow()
+    table = examples.select("cut", "unsure", "id", "times", "feats", "context", *_COUNTS).toArrow()
     if not table.num_rows:
         return np.zeros(N_HASH)
     order = np.argsort(table.column("id").to_numpy(), kind="stable")
@@ -388,15 +397,16 @@ def _train(examples: DataFrame, total: float) -> np.ndarray:
     x = _matrix(b, total)[order].astype(np.int32)
     y = b.column(0).to_numpy(zero_copy_only=False)[order].astype(bool)
     unsure = b.column(1).to_numpy(zero_copy_only=False)[order].astype(bool)
+    times = b.column(3).to_numpy()[order].astype(np.float32)
     fold = np.random.default_rng(11).integers(0, FOLDS, len(y))
     whole = ~y
     # The examples of a bounded sample.
-    shared = spark.sparkContext.broadcast((x, y, fold))
+    shared = spark.sparkContext.broadcast((x, y, times))
 
     def weights(rows: np.ndarray) -> np.ndarray:
-        x, y, _ = shared.value
-        n, m = int((rows & ~y).sum()), int((rows & y).sum())
-        return fit(x[rows], y[rows].astype(float), np.where(y[rows], PRIOR * n / max(1, m), 1.0)) if n and m else np.zeros(N_HASH)
+        x, y, times = shared.value
+        n, m = float(times[rows & ~y].sum()), int((rows & y).sum())
+        return fit(x[rows], y[rows].astype(float), np.where(y[rows], PRIOR * n / max(1, m), times[rows])) if n and m else np.zeros(N_HASH)
 
     def models(jobs: list[tuple[int, np.ndarray]]) -> dict[int, np.ndarray]:
         packed = [(k, np.packbits(rows).tobytes()) for k, rows in jobs]
@@ -424,7 +434,7 @@ def scores(df: DataFrame, key: str, text: str | Column, source: str | Column) ->
     """One row per row of ``df``: `key`, source, probability that the text was cut.
 
     Null and empty texts have the probability 0. A null source counts as ''. All texts give the lengths where they pile up and the counts, and all are scored;
-    training takes texts by a hash of their content, about `SAMPLE_ROWS` and `SAMPLE_BYTES` at most. Repeated rows are scored alike; an empty table gives no rows.
+    training takes rows by a hash of their content and key, about `SAMPLE_ROWS` and `SAMPLE_BYTES` at most. Repeated rows are scored alike; an empty table gives no rows.
     """
     spark = df.sparkSession
     ship(spark)
@@ -441,14 +451,15 @@ def scores(df: DataFrame, key: str, text: str | Column, source: str | Column) ->
     read = written(marked.mapInArrow(_read, f"key {kind}, source string, text string, parts bigint, {_PARTS}, times bigint, is_text boolean"))
     texts = read.filter("is_text")
     names = ["feats", "heads", "ends", "word", "context"]
-    distinct = written(texts.filter("parts is not null").groupBy("parts").agg(F.count(F.lit(1)).alias("n"), F.first(F.when(F.col("feats").isNotNull(), F.struct(*names)), ignorenulls=True).alias("f")).select("parts", "n", "f.*"))
+    meant = texts.filter("feats is not null").select("parts", *names).dropDuplicates(["parts"])
+    distinct = written(texts.filter("parts is not null").groupBy("parts").agg(F.count(F.lit(1)).alias("n")).join(meant, "parts"))
     corpus = Corpus(distinct, read.filter("not is_text").select("word", "times"))
     by_source: dict[str, list[int]] = {}
     for r in limits.orderBy(F.desc("n"), "source", "n_bytes").limit(COPIED_LIMITS).collect():
         by_source.setdefault(r["source"], []).append(r["n_bytes"])
     part = min(1.0, 0.97 * SAMPLE_ROWS / n, SAMPLE_BYTES / size) if n else 0.0
-    picked = marked.filter((F.octet_length("text") > 0) & (F.pmod(F.xxhash64("text", "source"), F.lit(1 << 30)) < F.lit(int(part * (1 << 30))))).select("source", "text", "limit").distinct()
-    examples = written(picked.mapInArrow(_examples(spark.sparkContext.broadcast(by_source)), f"id bigint, cut boolean, unsure boolean, {_PARTS}"))
+    picked = marked.filter((F.octet_length("text") > 0) & (F.pmod(F.xxhash64("text", "source", "key"), F.lit(1 << 30)) < F.lit(int(part * (1 << 30))))).groupBy("source", "text", "limit").agg(F.count(F.lit(1)).alias("times"))
+    examples = written(picked.mapInArrow(_examples(spark.sparkContext.broadcast(by_source)), f"id bigint, cut boolean, unsure boolean, times bigint, {_PARTS}"))
     own = corpus.numbered(examples.filter("not cut"), "id", True)
     weights = spark.sparkContext.broadcast(_train(own.unionByName(corpus.numbered(examples.filter("cut"), "id", False)), float(corpus.total)))
 

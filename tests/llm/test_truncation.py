@@ -3,6 +3,7 @@ import random
 import pytest
 
 from millrace.llm import truncation as X
+from millrace.llm.encoding import restore
 
 WORDS = "north south harbour cliff valley ridge lantern trellis pulley bobbin anvil silo crate kiln ferry spool".split()
 
@@ -33,8 +34,9 @@ def test_finds_what_was_cut(spark, rows):
     data, truth = rows
     df = spark.createDataFrame(data, "id long, source string, log string")
     found = {r["id"] for r in X.found(df, "id", "log", "source").collect()}
-    assert len(found & truth) / len(truth) > 0.75, (len(found & truth), len(truth))
+    assert len(found & truth) / len(truth) > 0.9, (len(found & truth), len(truth))
     assert len(found & truth) / max(1, len(found)) > 0.9, (len(found & truth), len(found))
+    # The report is of the same model.
     report = {r["source"]: r for r in X.report(df, "id", "log", "source").collect()}
     assert sum(r["n_records"] for r in report.values()) == len(data) and sum(r["n_truncated"] for r in report.values()) == len(found)
 
@@ -59,3 +61,55 @@ def test_cut():
     for _ in range(200):
         piece, at_limit = X.cut("é" * 50 + " tail", [31], rng)
         assert piece.encode().decode() == piece and (not at_limit or len(piece.encode()) >= 30)
+
+
+def test_parts_come_from_the_ends():
+    """What is taken from the short end of a text is what the long one gives."""
+    rng = random.Random(2)
+    for _ in range(500):
+        text = "".join(rng.choice("ab1.(\" ,µ") for _ in range(rng.randint(0, 120)))
+        long = tuple([X._shape(t) for t in X._TOKEN.findall(text.lower().encode().translate(X._ZERO).decode().rstrip()[-70:])[-4:]])
+        assert X.parts("s", text, False)[2] == long
+
+
+def test_counts_are_of_all_texts(spark, monkeypatch):
+    """Counts don't depend on the sample that weights are trained on."""
+    monkeypatch.setattr(X, "SAMPLE_ROWS", 50)
+    texts = [(i, f"Silo {i} is full today") for i in range(400)] + [(1000 + i, "Silo 7 is fu") for i in range(3)]
+    seen = {}
+
+    class Spy(X.Corpus):
+        def __init__(self, distinct, words):
+            super().__init__(distinct, words)
+            rows = distinct.filter(X.F.array_contains("ends", X.number("00silo 0\ntoday")) | X.F.array_contains("ends", X.number("00silo 0\nfu")))
+            seen["counts"] = sorted((r["c0"], r["n0"]) for r in self.counts(rows, "parts", True).collect())
+            seen["words"] = {r["at"]: r["count"] for r in self.words.collect()}
+            seen["total"] = self.total
+
+    monkeypatch.setattr(X, "Corpus", Spy)
+    X.scores(spark.createDataFrame([(i, t, "s") for i, t in texts], "id long, log string, src string"), "id", "log", "src").count()
+    assert seen["total"] == 403 and seen["words"][X.word_key("silo")] == 403 and seen["words"][X.word_key("is")] == 403
+    # Of the others that open alike, 399 of 402 end as a whole one does, and 2 as a cut one.
+    assert set(seen["counts"]) == {(399, 402), (2, 402)}
+
+
+def test_limits_are_joined_beyond_the_broadcast(spark, monkeypatch):
+    rows = [(i, f"s{i % 3}", "x" * (30 + i % 50) if i % 4 else "y" * 64) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, source string, log string")
+    some = sorted(map(tuple, X.scores(df, "id", "log", "source").collect()))
+    monkeypatch.setattr(X, "BROADCAST_LIMITS", 0)
+    assert sorted(map(tuple, X.scores(df, "id", "log", "source").collect())) == some
+
+
+def test_garbled_endings_are_judged_by_what_they_stand_for(spark):
+    """Garbled whole texts don't count as cut, and what is only restored where it looks cut is found as if all were restored first."""
+    rng = random.Random(8)
+    whole = [f"Zähler {rng.randint(1, 99)} meldet Übertragung für Behälter {rng.choice(WORDS)} beendet, Größe geprüft" for _ in range(3000)]
+    rows = []
+    for i, t in enumerate(whole):
+        t = t[: rng.randint(8, len(t) - 4)] if i % 40 == 0 else t
+        rows.append((i, "s", t.encode().decode("cp1252", "replace") if i % 10 == 5 else t))
+    df = spark.createDataFrame(rows, "id long, source string, log string")
+    first = spark.createDataFrame([(i, s, restore(t)[1]) for i, s, t in rows], "id long, source string, log string")
+    got, want = ({r["id"] for r in X.found(x, "id", "log", "source").collect()} for x in (df, first))
+    assert len(got & want) / len(want) > 0.97 and len(got - want) <= 0.03 * len(want)
