@@ -26,8 +26,11 @@ def label_counts(records: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy("label", *[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("labelled_count"), F.sum("_mr_n").alias("labelled_bytes"))
 
 
-def output_counts(events: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Per output: serialized records and bytes, chunks and their bytes."""
-    e = events.groupBy("output").agg(F.count(F.lit(1)).alias("records"), F.sum(F.octet_length("data")).alias("serialized_bytes"))
-    c = chunks.groupBy("output").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.octet_length("data")).alias("chunk_bytes"))
-    return e.join(c, "output", "full").na.fill(0)
+def serialized_counts(events: DataFrame) -> DataFrame:
+    """Per output: serialized records and bytes."""
+    return events.groupBy("output").agg(F.count(F.lit(1)).alias("records"), F.sum(F.octet_length("data")).alias("serialized_bytes"))
+
+
+def chunk_counts(chunks: DataFrame) -> DataFrame:
+    """Per output: chunks and their bytes."""
+    return chunks.groupBy("output").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.octet_length("data")).alias("chunk_bytes"))

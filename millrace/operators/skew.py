@@ -33,6 +33,7 @@ def salted(df: DataFrame, keys: Sequence[str], spread: Column, measures: Sequenc
     if not 0 < heavy_share <= 1 or salts < 1:
         raise ValueError("heavy_share lies in (0, 1] and salts is at least 1")
     counts = (df if sizes is None else sizes).groupBy(*keys).count()
+    # One row, a scalar: the product with it has the rows of `counts`.
     total = counts.agg(F.sum("count").alias("_mr_total"))
     heavy = counts.crossJoin(F.broadcast(total)).filter(F.col("count") >= F.col("_mr_total") * heavy_share).select(*[F.col(k).alias(f"_mr_{k}") for k in keys])
     same = [F.col(k).eqNullSafe(F.col(f"_mr_{k}")) for k in keys]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from millrace.session import compile_in_pieces
 from millrace.sources.syslog import MALFORMED, input_counts, parse
 
 TAG = "_mr_tag"
+#: The number of the input a record came through, in frames of all inputs.
+INPUT = "_mr_input"
 
 
 @dataclass
@@ -53,14 +57,26 @@ class Result:
         return df
 
 
-def run(program: Program, raw: DataFrame, *, tag_override: str | None = None, seen: dict[int, DataFrame] | None = None, marks: bool = False) -> Result:
-    """``raw`` has (source, order, record), as framing gives it."""
-    source = program.inputs[0]
-    parsed = parse(raw, program.schema, source.levels)
-    ok = keep(parsed, F.col(MALFORMED).isNull()).drop(MALFORMED, "record")
-    extracted = run_steps(ok, source.extractions, program.schema, (), (SOURCE, ORDER))
-    # What an extraction drops is gone before anything counts it.
-    return transform(program, keep(extracted, F.col(ALIVE)), parsed=parsed, tag_override=tag_override, seen=seen, marks=marks)
+def run(program: Program, raw: DataFrame | Sequence[DataFrame], *, tag_override: str | None = None, seen: dict[int, DataFrame] | None = None, marks: bool = False) -> Result:
+    """``raw`` has (source, order, record), as framing gives it: one frame per input of the program, or a single one for a program with one input.
+
+    A frame with the column `_mr_input` holds records of all inputs, by their number. Sources of different inputs have different names.
+    """
+    if isinstance(raw, DataFrame):
+        raws = [raw.filter(F.col(INPUT) == i).drop(INPUT) for i in range(len(program.inputs))] if INPUT in raw.columns else [raw]
+    else:
+        raws = list(raw)
+    if len(raws) != len(program.inputs):
+        raise ValueError(f"{len(program.inputs)} inputs need as many frames, not {len(raws)}")
+    all_parsed, all_records = [], []
+    for source, frame in zip(program.inputs, raws):
+        parsed = parse(frame, program.schema, source.levels)
+        ok = keep(parsed, F.col(MALFORMED).isNull()).drop(MALFORMED, "record")
+        all_parsed.append(parsed)
+        # What an extraction drops is gone before anything counts it.
+        all_records.append(keep(run_steps(ok, source.extractions, program.schema, (), (SOURCE, ORDER)), F.col(ALIVE)))
+    joined = lambda frames: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return transform(program, joined(all_records), parsed=joined(all_parsed), tag_override=tag_override, seen=seen, marks=marks)
 
 
 def transform(program: Program, extracted: DataFrame, *, parsed: DataFrame | None = None, tag_override: str | None = None, seen: dict[int, DataFrame] | None = None, marks: bool = False) -> Result:

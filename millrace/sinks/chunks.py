@@ -60,26 +60,36 @@ def build(kind: str, mode: str, tag: str, chunk_id: str, records: list[bytes]) -
     return msgpack.array(3) + msgpack.text(tag) + msgpack.binary(body) + msgpack.pack(option)
 
 
-def chunk_id(batch: int, part: int, n: int, suffix: str) -> str:
-    """Sorts by batch, part and place; the same batch run again gives the same identifiers."""
-    return f"{batch:019d}-{part:06d}{n:08d}{suffix}"
+def chunk_id(batch: int, group: int, n: int, suffix: str) -> str:
+    """Sorts by batch, then by group and place in it."""
+    return f"{batch:019d}-{group & 0xFFFFFFFFFFFFFFFF:016x}{n:08d}{suffix}"
+
+
+#: Bytes of a tag that are packed in one place, about, and lines of a source that stay together.
+GROUP_BYTES, GROUP_LINES = 64 << 20, 50_000
 
 
 def pack(events: DataFrame, output: Output, *, batch: int = 0, ordered: bool = True) -> DataFrame:
-    """(output, tag, chunk_id, n_records, data) from (source, order, tag, data).
+    """(output, tag, chunk_id, n_records, n_bytes, data) from (source, order, tag, data).
 
-    Records of a tag come in order of arrival inside a part, and a tag may span many parts: ranges of (tag, source, order) are packed apart, so that a
-    tag with most records doesn't make one long task. Without ``ordered`` nothing is shuffled: each part packs what it has, tag by tag, in the order it comes.
+    A tag with many bytes is packed in several groups, by a hash of source and stretch of its lines, so that a tag with most records makes no long task. Records of a group
+    come in order of (source, order). Which group a record is in, and so every chunk and its identifier, depends on the records of the batch alone, not on how they are
+    spread over tasks. Null tags form one tag. Without ``ordered`` nothing is shuffled: each part packs what it has, tag by tag, in the order it comes, and only the outbox keeps
+    what a batch made once from changing.
     """
     ship(events.sparkSession)
     if not ordered:
         return _pack_in_place(events, output, batch)
     limits, kind, mode, name = LIMITS[output.type], output.type, output.message_mode, output.name
-    rows = events.repartitionByRange("tag", SOURCE, ORDER).sortWithinPartitions("tag", SOURCE, ORDER)
+    tag = F.coalesce("tag", F.lit("")).alias("tag")
+    rows = events.select(tag, SOURCE, ORDER, "data", F.xxhash64(SOURCE, F.floor(F.col(ORDER) / GROUP_LINES)).alias("_mr_spread"))
+    sizes = rows.groupBy("tag").agg((F.floor(F.sum(F.octet_length("data")) / GROUP_BYTES) + 1).alias("_mr_groups"))
+    rows = rows.join(sizes, "tag").withColumn("_mr_group", F.xxhash64("tag", F.pmod("_mr_spread", "_mr_groups"))).drop("_mr_spread", "_mr_groups")
+    rows = rows.repartition("_mr_group").sortWithinPartitions("_mr_group", "tag", SOURCE, ORDER)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, n = TaskContext.get().partitionId(), 0
-        tag: str | None = None
+        n = 0
+        at: tuple[int, str] | None = None
         held: list[bytes] = []
 
         def flush(last: bool) -> Iterator[dict]:
@@ -87,18 +97,20 @@ def pack(events: DataFrame, output: Output, *, batch: int = 0, ordered: bool = T
             cuts = list(groups([len(x) for x in held], limits))
             keep = [] if last or not cuts else cuts[-1:]
             for a, b in cuts[: len(cuts) - len(keep)]:
-                c = chunk_id(batch, part, n, limits.suffix)
+                c = chunk_id(batch, at[0], n, limits.suffix)
                 n += 1
-                yield {"output": name, "tag": tag, "chunk_id": c, "n_records": b - a, "data": build(kind, mode, tag or "", c, held[a:b])}
+                data = build(kind, mode, at[1], c, held[a:b])
+                yield {"output": name, "tag": at[1], "chunk_id": c, "n_records": b - a, "n_bytes": len(data), "data": data}
             held = held[keep[0][0] :] if keep else []
 
         for f in frames:
             out: list[dict] = []
-            tags, data = f["tag"].tolist(), f["data"].tolist()
-            for t, d in zip(tags, data):
-                if t != tag:
+            for g, t, d in zip(f["_mr_group"].tolist(), f["tag"].tolist(), f["data"].tolist()):
+                if (g, t) != at:
                     out += flush(True)
-                    tag = t
+                    if at is None or at[0] != g:
+                        n = 0
+                    at = (g, t)
                 held.append(bytes(d))
             out += flush(False)
             if out:
@@ -107,10 +119,11 @@ def pack(events: DataFrame, output: Output, *, batch: int = 0, ordered: bool = T
         if out:
             yield pd.DataFrame(out)
 
-    return rows.select("tag", "data").mapInPandas(run, "output string, tag string, chunk_id string, n_records bigint, data binary")
+    return rows.select("_mr_group", "tag", "data").mapInPandas(run, SCHEMA)
 
 
-#: Bytes of all tags together that a part holds before it closes its open chunks.
+SCHEMA = "output string, tag string, chunk_id string, n_records bigint, n_bytes bigint, data binary"
+#: Bytes of all tags together that a part holds before it closes its largest open chunk.
 HELD_BYTES = 64 << 20
 
 
@@ -127,7 +140,8 @@ def _pack_in_place(events: DataFrame, output: Output, batch: int) -> DataFrame:
             total -= size
             c = chunk_id(batch, part, n, limits.suffix)
             n += 1
-            return {"output": name, "tag": tag, "chunk_id": c, "n_records": len(records), "data": build(kind, mode, tag or "", c, records)}
+            data = build(kind, mode, tag, c, records)
+            return {"output": name, "tag": tag, "chunk_id": c, "n_records": len(records), "n_bytes": len(data), "data": data}
 
         for f in frames:
             out: list[dict] = []
@@ -143,13 +157,13 @@ def _pack_in_place(events: DataFrame, output: Output, batch: int) -> DataFrame:
                 total += grown - size
                 held[tag] = (records, grown)
                 if total > HELD_BYTES:
-                    out += [close(t) for t in sorted(held, key=str)]
+                    out.append(close(max(held, key=lambda t: (held[t][1], t))))
             if out:
                 yield pd.DataFrame(out)
         if held:
-            yield pd.DataFrame([close(t) for t in sorted(held, key=str)])
+            yield pd.DataFrame([close(t) for t in sorted(held)])
 
-    return events.select("tag", "data").mapInPandas(run, "output string, tag string, chunk_id string, n_records bigint, data binary")
+    return events.select(F.coalesce("tag", F.lit("")).alias("tag"), "data").mapInPandas(run, SCHEMA)
 
 
 def decode(kind: str, data: bytes) -> list:

@@ -11,7 +11,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from millrace.config import Output
@@ -23,8 +23,13 @@ from millrace.sinks import msgpack
 UNACKNOWLEDGED, TRIES, WAIT = 10, 5, 10.0
 
 
+#: Seconds without a chunk after which a connection that is kept open gets a sign of life.
+PING = 10.0
+
+
 class Connection(Protocol):
     def send(self, chunk_id: str, data: bytes) -> None: ...
+    def ping(self) -> None: ...
     def acknowledged(self) -> str: ...
     def close(self) -> None: ...
 
@@ -77,6 +82,10 @@ class ForwardConnection:
     def send(self, chunk_id: str, data: bytes) -> None:
         self.socket.sendall(data)
 
+    def ping(self) -> None:
+        """A message without records and without an identifier: nobody answers it."""
+        self.socket.sendall(msgpack.pack(["ping", [], {"size": 0}]))
+
     def acknowledged(self) -> str:
         return self._read()["ack"]
 
@@ -97,6 +106,9 @@ class ApiConnection:
                 raise ConnectionError(f"status {answer.status}")
         self.done.append(chunk_id)
 
+    def ping(self) -> None:
+        """Requests stand by themselves: there is nothing to keep alive."""
+
     def acknowledged(self) -> str:
         return self.done.pop(0)
 
@@ -125,21 +137,42 @@ def opener(output: Output) -> Callable[[], Connection]:
     raise ConfigError(f"no endpoint for {output.type}")
 
 
-def send_all(chunks: Iterator[tuple[str, bytes]], connect: Callable[[], Connection], *, tries: int = TRIES, wait: float = WAIT, max_duration: float | None = None) -> Iterator[str]:
-    """Identifiers of chunks as they are acknowledged. After an error those in flight are sent again, in order, over a new connection; after `max_duration` seconds the connection is renewed."""
-    todo = list(chunks)
-    failed, opened_at = 0, 0.0
+def send_all(
+    chunks: Iterator[tuple[str, bytes]], connect: Callable[[], Connection], *, tries: int | None = TRIES, wait: float = WAIT, max_duration: float | None = None, ping: float = PING, clock: Callable[[], float] = time.monotonic
+) -> Iterator[str]:
+    """Identifiers of chunks as they are acknowledged; chunks are taken from the iterator as they are sent, so that few are held.
+
+    After an error those in flight are sent again, in order, over a new connection; with `tries` None that goes on without end. After `max_duration` seconds
+    the connection is closed, once what is in flight is acknowledged, and opened anew. When the next chunk is `ping` seconds or more in coming, the connection gets a sign of life before it.
+    """
+    failed, opened_at, last_sent = 0, 0.0, 0.0
     connection: Connection | None = None
+    again: list[tuple[str, bytes]] = []
     flight: list[tuple[str, bytes]] = []
-    while todo or flight:
+    more = True
+    while more or again or flight:
         try:
-            if connection is None or (max_duration and not flight and time.monotonic() - opened_at > max_duration):
-                if connection is not None:
+            worn = connection is not None and bool(max_duration) and clock() - opened_at > max_duration
+            while not worn and len(flight) < UNACKNOWLEDGED and (again or more):
+                if not again:
+                    c = next(chunks, None)
+                    more = c is not None
+                    if c is None:
+                        break
+                    again.append(c)
+                if connection is None:
+                    connection, opened_at = connect(), clock()
+                    last_sent = opened_at
+                elif clock() - last_sent >= ping:
+                    connection.ping()
+                connection.send(*again[0])
+                last_sent = clock()
+                flight.append(again.pop(0))
+            if not flight:
+                if worn:
                     connection.close()
-                connection, opened_at = connect(), time.monotonic()
-            while todo and len(flight) < UNACKNOWLEDGED:
-                connection.send(*todo[0])
-                flight.append(todo.pop(0))
+                    connection = None
+                continue
             done = connection.acknowledged()
             hit = [c for c in flight if c[0] == done]
             if hit:
@@ -155,21 +188,32 @@ def send_all(chunks: Iterator[tuple[str, bytes]], connect: Callable[[], Connecti
                     pass
                 connection = None
             # Leftovers go first, each once, in order of their identifiers.
-            todo = sorted({c[0]: c for c in [*flight, *todo]}.values())
+            again = sorted({c[0]: c for c in [*flight, *again]}.values())
             flight = []
-            if failed >= tries:
+            if tries is not None and failed >= tries:
                 return
             time.sleep(wait)
+    if connection is not None:
+        connection.close()
 
 
-def deliver(chunks: DataFrame, connect: Callable[[], Connection], *, tries: int = TRIES, wait: float = WAIT, connections: int = 4) -> DataFrame:
-    """(chunk_id) of the chunks that were acknowledged. `connections` tasks send at a time."""
-    ship(chunks.sparkSession)
+def max_duration(output: Output) -> float | None:
+    """How long a connection to the endpoint of an output may stay open."""
+    return seconds(output.upstream["maxDuration"]) if output.upstream.get("maxDuration") else None
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f = f.sort_values("chunk_id")
-            ids = list(send_all(iter([(i, bytes(d)) for i, d in zip(f["chunk_id"], f["data"])]), connect, tries=tries, wait=wait))
-            yield pd.DataFrame({"chunk_id": ids}, dtype=object)
 
-    return chunks.select("chunk_id", "data").repartitionByRange(connections, "chunk_id").sortWithinPartitions("chunk_id").mapInPandas(run, "chunk_id string")
+def deliver(chunks: DataFrame, connect: Callable[[], Connection], *, tries: int | None = TRIES, wait: float = WAIT, connections: int = 4, max_duration: float | None = None) -> DataFrame:
+    """(chunk_id) of the chunks that were acknowledged. `connections` tasks send at a time, each over one connection."""
+    ship(chunks.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((i.as_py(), d.as_py()) for b in batches for i, d in zip(b.column(0), b.column(1)))
+        done: list[str] = []
+        for i in send_all(rows, connect, tries=tries, wait=wait, max_duration=max_duration):
+            done.append(i)
+            if len(done) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["chunk_id"])
+                done = []
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["chunk_id"])
+
+    return chunks.select("chunk_id", "data").repartitionByRange(connections, "chunk_id").sortWithinPartitions("chunk_id").mapInArrow(run, "chunk_id string")

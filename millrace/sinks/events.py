@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +9,6 @@ from millrace.config import Output
 from millrace.operators.rewriters import rewritten
 from millrace.plans.pipeline import TAG
 from millrace.schema import ORDER, SOURCE, TIME, Schema
-from millrace.session import ship
 from millrace.sinks import msgpack
 
 
@@ -56,26 +52,29 @@ def serialize(records: DataFrame, schema: Schema, o: Output) -> DataFrame:
     """(source, order, tag, data): the bytes of each event, ready to be put into chunks."""
     if o.type == "datadog":
         return event_json(records, schema, o).select(SOURCE, ORDER, "tag", F.col("json").cast("binary").alias("data"))
-    ship(records.sparkSession)
     e = event_columns(records, schema, o)
     names = visible(schema, o)
     env = sorted(o.environment)
-    flat = e.select(SOURCE, ORDER, "tag", F.unix_micros("event_ts").alias("_mr_us"), *[F.col(f"`{f}`").alias(f"_mr_f{i}") for i, f in enumerate(names)], *[F.col("environment")[f].alias(f"_mr_e{i}") for i, f in enumerate(env)])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys = [msgpack.text(f) for f in names]
-        env_keys = [msgpack.text(f) for f in env]
-        head = msgpack.text("environment") + msgpack.mapping(len(env))
-        for f in frames:
-            data = []
-            cols = [f[f"_mr_f{i}"].tolist() for i in range(len(names))]
-            envs = [f[f"_mr_e{i}"].tolist() for i in range(len(env))]
-            for r, us in enumerate(f["_mr_us"]):
-                parts = [k + msgpack.text(c[r]) for k, c in zip(keys, cols) if c[r]]
-                body = msgpack.mapping(len(parts) + 1) + b"".join(parts) + head + b"".join(k + msgpack.text(c[r]) for k, c in zip(env_keys, envs))
-                s, rest = divmod(int(us), 1_000_000)
-                data.append(b"\x92" + msgpack.event_time(s, rest * 1000) + body)
-            yield pd.DataFrame({SOURCE: f[SOURCE], ORDER: f[ORDER], "tag": f["tag"], "data": data})
-
-    kinds = {n: e.schema[n].dataType.simpleString() for n in (SOURCE, ORDER)}
-    return flat.mapInPandas(run, f"{SOURCE} {kinds[SOURCE]}, {ORDER} {kinds[ORDER]}, tag string, data binary")
+    us = F.unix_micros("event_ts")
+    parts = [F.lit(b"\x92\xd7\x00"), _big_endian(F.floor(us / 1_000_000).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)), 4), _big_endian(F.pmod(us, F.lit(1_000_000)) * 1000, 4)]
+    # A map of the fields that have a value, and the environment, whole.
+    present = sum((F.when(F.octet_length(F.col(f"`{f}`")) > 0, 1).otherwise(0) for f in names), F.lit(1))
+    parts.append(F.unhex(F.lpad(F.hex(present + 0x80), 2, "0")) if len(names) < 15 else F.concat(F.lit(b"\xde"), _big_endian(present, 2)))
+    for f in names:
+        v = F.col(f"`{f}`")
+        parts.append(F.when(F.octet_length(v) > 0, F.concat(F.lit(msgpack.text(f)), _text(v))).otherwise(F.lit(b"")))
+    parts.append(F.lit(msgpack.text("environment") + msgpack.mapping(len(env))))
+    for f in env:
+        parts += [F.lit(msgpack.text(f)), _text(F.coalesce(F.col("environment")[f], F.lit("")))]
+    return e.select(SOURCE, ORDER, "tag", F.concat(*parts).alias("data"))
+
+
+def _big_endian(n: Column, size: int) -> Column:
+    return F.unhex(F.lpad(F.hex(n.cast("bigint")), 2 * size, "0"))
+
+
+def _text(v: Column) -> Column:
+    """A text in MessagePack: its length in as few bytes as it takes, and its bytes."""
+    n = F.octet_length(v)
+    head = F.when(n < 32, _big_endian(n + 0xA0, 1)).when(n < 1 << 8, F.concat(F.lit(b"\xd9"), _big_endian(n, 1))).when(n < 1 << 16, F.concat(F.lit(b"\xda"), _big_endian(n, 2))).otherwise(F.concat(F.lit(b"\xdb"), _big_endian(n, 4)))
+    return F.concat(head, v.cast("binary"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import first_bytes
@@ -18,6 +18,8 @@ LOG_LEVELS = ("off", "fatal", "crit", "error", "warn", "notice", "info", "debug"
 #: Bytes of a message that are kept, and bytes of a record from which on it is cut.
 MAX_MESSAGE = 1 << 20
 SOFT_LIMIT = MAX_MESSAGE + 256
+#: Bytes of an unfinished record that are kept before it is cut.
+BUFFER = 3 * SOFT_LIMIT
 OVERFLOW = "overflow"
 
 _START = r"\A<[0-9]{1,3}>1 "
@@ -36,23 +38,40 @@ def frame_text(df: DataFrame, text: str = "value", source: Column | None = None)
     return rows.withColumn(ORDER, F.col(ORDER).cast("bigint"))
 
 
-def read_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(source, order, record) of files, each one connection."""
-    return frame_text(spark.read.text(paths, wholetext=True))
+def read_files(spark: SparkSession, paths: str | Sequence[str], largest: int = 64 << 20) -> DataFrame:
+    """(source, order, record) of files, each one connection.
 
-
-def frame_lines(df: DataFrame, connection: str, line_no: str, line: str) -> DataFrame:
+    Files are read whole as long as none is larger than `largest`, so that no record has to move. Larger ones are read in parts of lines:
+    a line knows its file, its part by where it starts, and its place in the part, and framing goes by these.
+    """
+    sizes = spark.read.format("binaryFile").load(paths).select("length").agg(F.max("length")).first()[0] or 0
+    if sizes <= largest:
+        return frame_text(spark.read.text(paths, wholetext=True))
+    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("_mr_file"), F.col("_metadata.file_block_start").alias("_mr_at"), F.monotonically_increasing_id().alias("_mr_id"), F.col("value"))
+    # A part is read by one task in order, so that its identifiers grow by its lines; parts follow each other by where they start.
+    # More lines than bytes of the parts before there can't be: that gives each part numbers of its own.
+    first = rows.groupBy("_mr_file", "_mr_at").agg(F.min("_mr_id").alias("_mr_first"))
+    numbered = rows.join(first, ["_mr_file", "_mr_at"]).withColumn("_mr_line_no", F.col("_mr_at") + F.col("_mr_id") - F.col("_mr_first"))
+    return frame_lines(numbered, "_mr_file", "_mr_line_no", "value")
+
+
+def frame_lines(df: DataFrame, connection: str, line_no: str, line: str, limit: int = BUFFER) -> DataFrame:
     """(source, order, record) of lines numbered within their connection.
 
     A line that starts a record closes the one before; other lines continue it. The first line of a connection opens a record whatever it holds.
-    Long connections are cut into blocks of lines, so that none has to fit a task; only the lines of one record come together. A null line is an empty one.
+    Long connections are cut into blocks of lines, so that none has to fit a task; only the lines of one record come together. A record that grows beyond `BUFFER` bytes
+    without a next one to end it is cut there, and what follows is framed in pieces of that size, which the parser will reject: no more than one piece is ever in one place. A null line is an empty one.
     """
     rows = df.select(F.col(connection).alias(SOURCE), F.coalesce(F.col(line_no).cast("bigint"), F.lit(0)).alias("_mr_no"), F.coalesce(F.col(line), F.lit("")).alias("_mr_line"))
     opened = carried(rows, F.when(is_start(F.col("_mr_line")), F.col("_mr_no")), [SOURCE], "_mr_no", ORDER)
     # Lines before the first start of a connection form one record, under a number below all others.
     opened = opened.withColumn(ORDER, F.coalesce(ORDER, F.lit(-1).cast("bigint")))
+    # Bytes of the record before this line: rows of a window pass one by one, and those held spill. It needs the same partitions as what follows.
+    before = Window.partitionBy(SOURCE, ORDER).orderBy("_mr_no").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.coalesce(F.sum(F.octet_length("_mr_line") + 1).over(before), F.lit(0))
+    opened = opened.withColumn("_mr_piece", F.floor(F.greatest(size - 1, F.lit(0)) / limit))
     lines = F.array_sort(F.collect_list(F.struct("_mr_no", "_mr_line")))
-    records = opened.groupBy(SOURCE, ORDER).agg(lines.alias("_mr_lines"))
+    records = opened.groupBy(SOURCE, ORDER, "_mr_piece").agg(lines.alias("_mr_lines"))
     return records.select(SOURCE, F.get("_mr_lines", F.lit(0))["_mr_no"].alias(ORDER), F.array_join(F.transform("_mr_lines", lambda x: x["_mr_line"]), "\n").alias("record"))
 
 

@@ -55,6 +55,9 @@ class Listener:
 
     def take(self, start: int, end: int | None = None) -> tuple[list[tuple[str, int, str]], int]:
         with self.room:
+            if start > self.first + len(self.lines):
+                # A new listener after a restart: what it holds comes after all that was read before.
+                self.first = start
             a = max(0, start - self.first)
             b = min(len(self.lines), a + BATCH) if end is None else max(a, end - self.first)
             return self.lines[a:b], self.first + b

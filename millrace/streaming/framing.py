@@ -11,11 +11,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.schema import ORDER, SOURCE
 from millrace.session import ship
-from millrace.sources.syslog import SOFT_LIMIT
+from millrace.sources.syslog import BUFFER
 
 _START = re.compile(rb"<[0-9]{1,3}>1 ")
-#: Bytes of an unfinished record that are kept before it is cut.
-BUFFER = 3 * SOFT_LIMIT
 
 
 def starts(line: bytes) -> bool:

@@ -17,6 +17,7 @@ from millrace.queries.sample import program
 from millrace.schema import ORDER, SOURCE, Schema, start_records
 from millrace.sinks import chunks, delivery, msgpack
 from millrace.sinks.events import event_columns, event_json, serialize
+from millrace.sinks.files import chunk_lines, save_chunks
 from millrace.sinks.outbox import Outbox, folder_name
 
 S = Schema(("vhost", "app", "message", "extra", "comp"))
@@ -129,32 +130,58 @@ def test_counters(spark, data):
     assert n[0] == r.passed().count() and n[0] + n[1] == r.records.count()
     o = program().outputs[1]
     e = serialize(r.passed(), program().schema, o).withColumn("output", F.lit(o.name))
-    c = metrics.output_counts(e, chunks.pack(e, o)).first()
-    assert c["records"] == n[0] and c["chunk_bytes"] < c["serialized_bytes"]
+    counted, packed = metrics.serialized_counts(e).first(), metrics.chunk_counts(chunks.pack(e, o)).first()
+    assert counted["records"] == n[0] and packed["chunk_bytes"] < counted["serialized_bytes"]
 
 
 # Outbox and delivery
 
 
+def made(spark, ids):
+    return spark.createDataFrame([("o", "t", i, 1, n, b"x" * n) for i, n in ids], "output string, tag string, chunk_id string, n_records long, n_bytes long, data binary")
+
+
 def test_outbox(spark, tmp_path):
-    box = Outbox(spark, str(tmp_path), "a/b", max_bytes=10)
-    assert box.pending().count() == 0 and box.has_room()
-    df = spark.createDataFrame([("o", "t", f"id{i}", 1, b"x" * i) for i in range(5)], "output string, tag string, chunk_id string, n_records long, data binary")
-    box.put(df, 0)
-    box.put(df, 0)  # a batch that runs again
-    assert sorted(r["chunk_id"] for r in box.pending().collect()) == ["id1", "id2", "id3", "id4"]  # the empty one is corrupt
-    assert box.size() == 10 and not box.has_room()
+    box = Outbox(spark, str(tmp_path), "a/b")
+    assert box.pending().count() == 0 and box.size() == 0
+    assert box.put(made(spark, [(f"id{i}", i) for i in range(5)]), 0).chunks == 5
+    # A batch that runs again, even with other chunks, leaves what was written.
+    assert box.put(made(spark, [("id4", 9), ("id7", 7)]), 0).chunks == 0
+    assert sorted((r["chunk_id"], r["n_bytes"]) for r in box.pending().collect()) == [("id1", 1), ("id2", 2), ("id3", 3), ("id4", 4)]  # the empty one is corrupt
+    assert box.waiting() == (4, 10)
     box.acknowledge(spark.createDataFrame([("id2",), ("id3",)], "chunk_id string"), 0)
     assert sorted(r["chunk_id"] for r in Outbox(spark, str(tmp_path), "a/b").pending().collect()) == ["id1", "id4"]
-    box.put(df.withColumn("chunk_id", F.concat(F.lit("next"), "chunk_id")), 1)
+    box.put(made(spark, [("next", 3)]), 1)
     box.compact(1)
-    assert box.written().count() == 10  # something waits
+    assert box.written().count() == 6  # something waits
     box.acknowledge(box.pending(), 1)
     box.compact(1)
-    assert box.written().count() == 5 and box.pending().count() == 0
+    assert box.written().count() == 1 and box.pending().count() == 0
     assert folder_name("a/b") != folder_name("a_b") and folder_name("a/b").startswith("a_b.")
 
 
+def test_a_full_outbox_loses_what_is_newest(spark, tmp_path):
+    box = Outbox(spark, str(tmp_path), "o", max_bytes=100)
+    ids = [f"{0:019d}-{k:016x}{0:08d}.ff" for k in (0x01 << 56, 0x55 << 56, 0x55 << 56 | 9, 0xF0 << 56)]
+    put = box.put(made(spark, zip(ids, (40, 30, 25, 20))), 0)
+    assert (put.chunks, put.bytes, put.dropped_chunks, put.dropped_bytes) == (3, 95, 1, 20)
+    assert sorted(r["chunk_id"] for r in box.pending().collect()) == ids[:3]
+    assert box.put(made(spark, [("later", 6)]), 1).dropped_chunks == 1 and box.put(made(spark, [("small", 5)]), 2).chunks == 1
+
+
+@pytest.mark.parametrize("index", [0, 1])
+def test_chunks_of_a_batch_are_the_same_however_it_is_spread(spark, monkeypatch, index):
+    """Packed twice from 300,000 events that lie in different partitions, with adaptive plans: the same chunks, byte for byte."""
+    monkeypatch.setattr(chunks, "GROUP_BYTES", 1 << 20)
+    o = program().outputs[index]
+    ids = spark.range(300_000)
+    tag = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 40).cast("string")))
+    df = ids.select(F.concat(F.lit("s"), (F.col("id") % 5).cast("string")).alias(SOURCE), F.floor(F.col("id") / 5).alias(ORDER), tag.alias("tag"), F.concat(F.lit('{"i":'), F.col("id").cast("string"), F.lit("}")).cast("binary").alias("data"))
+    packed = [{r["chunk_id"]: (r["tag"], r["n_records"], bytes(r["data"])) for r in chunks.pack(x, o, batch=7).collect()} for x in (df, df.repartition(13))]
+    assert packed[0] == packed[1] and sum(n for _, n, _ in packed[0].values()) == 300_000
+    assert sum(t == "hot" for t, _, _ in packed[0].values()) > 1
+
+
 class Flaky:
     """Fails at given sends, forgets what was in flight then, and notes what arrived."""
 
@@ -171,20 +198,43 @@ class Flaky:
         Flaky.arrived.append(i)
         self.sent.append(i)
 
+    def ping(self):
+        Flaky.arrived.append("ping")
+
     def acknowledged(self):
         return self.sent.pop(0)
 
     def close(self):
-        pass
+        Flaky.arrived.append("close")
 
 
 def test_send_again_after_errors():
     Flaky.arrived, Flaky.failures = [], ["c05", "c07"]
     todo = [(f"c{i:02}", b"") for i in range(30)]
     assert sorted(delivery.send_all(iter(todo), Flaky, wait=0)) == [c for c, _ in todo]
-    assert set(Flaky.arrived) == {c for c, _ in todo} and len(Flaky.arrived) >= 30
+    assert set(Flaky.arrived) - {"close"} == {c for c, _ in todo} and len(Flaky.arrived) >= 30
     Flaky.failures = ["c00"] * 9
     assert list(delivery.send_all(iter(todo), Flaky, wait=0, tries=3)) == []
+    Flaky.failures = ["c00"] * 9
+    assert len(list(delivery.send_all(iter(todo), Flaky, wait=0, tries=None))) == 30
+
+
+def test_signs_of_life_and_renewal(monkeypatch):
+    """Each chunk takes four seconds to come: after ten the connection is told so, and after sixty it is opened anew with nothing in flight."""
+    now = [0.0]
+
+    def slow():
+        for i in range(40):
+            now[0] += 12.0 if i % 4 == 3 else 4.0
+            yield f"c{i:02}", b""
+
+    monkeypatch.setattr(delivery, "UNACKNOWLEDGED", 1)
+    Flaky.arrived, Flaky.failures = [], []
+    assert list(delivery.send_all(slow(), Flaky, wait=0, max_duration=60.0, clock=lambda: now[0])) == [f"c{i:02}" for i in range(40)]
+    assert Flaky.arrived.count("ping") > 4 and Flaky.arrived.count("close") >= 3
+    # A chunk in flight is never cut off: each is sent once.
+    assert sorted(x for x in Flaky.arrived if x[0] == "c" and x != "close") == [f"c{i:02}" for i in range(40)]
+    assert delivery.max_duration(program().outputs[0]) == 1200 and delivery.max_duration(program().outputs[1]) is None
 
 
 @pytest.fixture
@@ -268,3 +318,17 @@ def test_api_connection():
     server.shutdown()
     server.server_close()
     assert delivery.seconds("30s") == 30 and delivery.seconds("500ms") == 0.5 and delivery.seconds("2m") == 120
+
+
+@pytest.mark.parametrize("o", [FORWARD, API], ids=["forward", "api"])
+def test_chunk_files(spark, records, tmp_path, o):
+    packed = chunks.pack(serialize(records, S, o), o)
+    n = packed.count()
+    for _ in range(2):
+        assert save_chunks(packed, str(tmp_path / "out")) == n
+    files = {f.name: f.read_bytes() for f in (tmp_path / "out").iterdir()}
+    assert files == {r["chunk_id"]: bytes(r["data"]) for r in packed.collect()}
+    lines = [json.loads(r["json"]) for r in chunk_lines(packed, o).orderBy("chunk_id", "place").collect()]
+    want = [json.loads(r[0]) for r in event_json(records, S, o).select("json").collect()]
+    bare = (lambda e: [e[0], e[2]]) if o is FORWARD else (lambda e: e)
+    assert sorted(json.dumps(bare(x), sort_keys=True) for x in lines) == sorted(json.dumps(bare(x), sort_keys=True) for x in want)

@@ -21,24 +21,37 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_events_and_labels_of_redacted_records(spark, data):
-    """The queries over all records, held against a scanner where they go beyond those with SQL."""
-    from collections import Counter
-
-    from tests.test_text import scan
-
-    rows = spark.read.parquet(f"{data}/app_records.parquet").distinct().collect()
-    mail = {r["app_rec_id"]: r for r in rows if r["source"] in ("mail.log", "sync.log") and "@" in (r["log"] or "")}
-    assert any(scan(r["log"]) != r["log"] for r in mail.values())
-    for name in ("forward_events", "api_events"):
-        some, every = core.QUERIES[name](spark, data).collect(), core.QUERIES[f"{name}_all"](spark, data).collect()
-        assert sorted(map(str, some)) == sorted(str(e) for e in every if e["app_rec_id"] not in mail)
-        redacted = {e["app_rec_id"]: e["log"] for e in every if e["app_rec_id"] in mail}
-        assert redacted.keys() == mail.keys() and len(every) == len(some) + len(mail)
-        if name == "api_events":
-            assert redacted == {k: scan(r["log"]) for k, r in mail.items()}
-        else:
-            assert all("REDACTED" in redacted[k] for k, r in mail.items() if scan(r["log"]) != r["log"])
-    want = Counter((r["app"], r["level"], r["vhost"] or "", r["source"]) for r in mail.values() if scan(r["log"]) != r["log"])
-    labels = core.QUERIES["label_counters_all"](spark, data).filter("label = 'redacted'").collect()
-    assert {(r["key_app"], r["key_level"], r["key_vhost"], r["key_source"]): r["labelled_count"] for r in labels} == want
+def test_redaction_in_sql():
+    """The SQL of redaction, held against a plain way to say it."""
+    import random
+
+    import duckdb
+
+    from millrace.queries.operators import _redacted
+    from tests.test_text import ADDRESSES, by_runs
+
+    rng = random.Random(4)
+    texts = [*ADDRESSES, *("".join(rng.choice("ab1@.-_/ é") for _ in range(rng.randint(0, 14))) for _ in range(4000))]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE t (i INT, v VARCHAR)")
+    c.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(texts)))
+    got = [r[0] for r in c.execute(f"SELECT {_redacted('v')} FROM t ORDER BY i").fetchall()]
+    assert [(t, g) for t, g in zip(texts, got)] == [(t, by_runs(t)) for t in texts]
+
+
+def test_a_missing_part_of_the_text_package_is_an_error(tmp_path):
+    """Without the package of text operators the entry has fewer queries; with a broken one it fails."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(entry.__file__).parent
+    shutil.copytree(root / "millrace", tmp_path / "millrace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    ask = [sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"]
+    assert subprocess.run(ask, cwd=tmp_path, capture_output=True, text=True).stdout.strip() == str(len(core.QUERIES))
+    (tmp_path / "millrace" / "llm").mkdir()
+    (tmp_path / "millrace" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "millrace" / "llm" / "queries.py").write_text("import millrace.nowhere\n")
+    assert subprocess.run(ask, cwd=tmp_path, capture_output=True, text=True).returncode != 0

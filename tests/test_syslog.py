@@ -5,12 +5,18 @@ from pyspark.sql import functions as F
 
 from millrace.operators import ranks
 from millrace.schema import LABELS, ORDER, SIZE, SOURCE, SYSLOG_FIELDS, UNESCAPED, Schema
-from millrace.sources.syslog import MALFORMED, SEVERITIES, frame_lines, frame_text, input_counts, is_start, parse, read_files
+from millrace.sources.syslog import FACILITIES, MALFORMED, SEVERITIES, frame_lines, frame_text, input_counts, is_start, parse, read_files
 from millrace.streaming.framing import Framer, starts
 
-A = "<163>1 2019-08-15T15:50:46.866915+03:00 local1 my-app1 123 fn1 - Something"
-B = "<163>1 2020-09-17T16:51:47.867Z local2 my-app2 456 fn2 - Something else"
 S = Schema(SYSLOG_FIELDS)
+HEADER = ("2031-05-06T07:08:09.123456+02:00", "quern", "mill", "4711", "belt", "-")
+
+
+def line(priority=46, text="belt slipped", header=HEADER):
+    return f"<{priority}>1 {' '.join(header)} {text}"
+
+
+A, B = line(), line(9, "stone [3] hot: 71 °C", ("2031-05-06T07:08:10Z", "quern2", "sieve", "-", "motor", "[a]"))
 
 
 def parsed(spark, records, levels=SEVERITIES):
@@ -20,42 +26,69 @@ def parsed(spark, records, levels=SEVERITIES):
 
 def test_parse(spark):
     rows = parsed(spark, [A, B]).collect()
-    assert [r["facility"] for r in rows] == ["local4"] * 2 and [r["level"] for r in rows] == ["err"] * 2
-    assert (rows[0]["time"], rows[0]["host"], rows[0]["app"], rows[0]["pid"], rows[0]["source"], rows[0]["extradata"], rows[0]["log"]) == ("2019-08-15T15:50:46.866915+03:00", "local1", "my-app1", "123", "fn1", "-", "Something")
-    assert [r[SIZE] for r in rows] == [len(A), len(B)]
-    assert tuple(input_counts(parsed(spark, [A, B])).first()) == (2, len(A) + len(B), 0, 0, 0)
+    assert [tuple(r[f] for f in SYSLOG_FIELDS) for r in rows] == [
+        ("syslog", "info", *HEADER, "belt slipped"), ("user", "alert", "2031-05-06T07:08:10Z", "quern2", "sieve", "-", "motor", "[a]", "stone [3] hot: 71 °C"),
+    ]
+    assert [r[SIZE] for r in rows] == [len(A), len(B.encode())]
+    assert [r["level"] for r in parsed(spark, [A, B], tuple("abcdefgh")).collect()] == ["g", "b"]
+
+
+def test_every_priority(spark):
+    rows = parsed(spark, [line(p) for p in range(200)]).collect()
+    assert [(r["facility"], r["level"]) for r in rows[:192]] == [(f, s) for f in FACILITIES for s in SEVERITIES]
+    assert all(r[MALFORMED] is None for r in rows[:192]) and all(r[MALFORMED] for r in rows[192:])
+
 
+WRONG = [
+    "plain words that are long enough to be one", "", None, "<46>1 too short", line("-3"), line("x"), line(""), line("4711000000000"), line().replace(">1 ", ">2 ", 1), line().replace("<", "", 1), line().replace(">1 ", "> ", 1),
+    "<46>1 " + " ".join(HEADER[:5]) + " wholly-without-a-message",
+]
 
-def test_malformed(spark):
-    t = "2020-09-17T16:51:47.867Z h a 1 s - x"
-    bad = ["hello world", "", None, "<1>1 short", f"<192>1 {t}", f"<-1>1 {t}", f"<x>1 {t}", f"<13>2 {t}", f"< {t}", f"13>1 {t} padding", "<13>1 2020-09-17T16:51:47.867Z h a 1 s -", "<99999999999>1 " + t]
-    assert all(r[MALFORMED] for r in parsed(spark, bad).collect())
-    good = [f"<191>1 {t}", "<13>1 2020-09-17T16:51:47.867Z    1 s - x", "<13>1 2020-09-17T16:51:47.867Z h a 1 s - ", "<0>1 2020-09-17T16:51:47.867Z h a 1 s - a  b"]
-    rows = parsed(spark, good).collect()
-    assert [r[MALFORMED] for r in rows] == [None] * 4
-    assert [r["log"] for r in rows] == ["x", "- x" if False else rows[1]["log"], "", "a  b"]
-    assert tuple(input_counts(parsed(spark, ["hello world", A])).first()) == (1, len(A), 1, 11, 0)
 
+def test_what_cannot_be_parsed(spark):
+    assert all(r[MALFORMED] for r in parsed(spark, WRONG).collect())
+    size = sum(len(w or "") for w in WRONG)
+    assert tuple(input_counts(parsed(spark, [*WRONG, A])).first()) == (1, len(A), len(WRONG), size, 0)
 
-def test_overflow(spark):
-    head = "<163>1 2020-09-17T16:51:47.867Z local2 my-app2 456 fn2 - "
-    r = parsed(spark, [head + "x" * (1 << 20), head + "é" + "x" * (1 << 20), head + "x" * ((1 << 20) - 1) + "é"]).select(F.octet_length("log"), LABELS, MALFORMED).collect()
-    assert [x[0] for x in r] == [1 << 20, 1 << 20, (1 << 20) - 1]
-    assert [x[1] for x in r] == [[], ["overflow"], ["overflow"]]
 
+def test_empty_fields_and_messages(spark):
+    rows = parsed(spark, [line(text=""), line(text="two  blanks "), line(header=("2031-05-06T07:08:09.123456+02:00", "", "", "", "", ""))]).collect()
+    assert [r[MALFORMED] for r in rows] == [None] * 3
+    assert [(r["host"], r["log"]) for r in rows] == [("quern", ""), ("quern", "two  blanks "), ("", "belt slipped")]
 
-def test_unescaped_when_multi_line(spark):
-    assert [r[UNESCAPED] for r in parsed(spark, [A, A + "\nmore"]).collect()] == [False, True]
 
+def test_messages_over_the_limit(spark):
+    limit = 1 << 20
+    cases = ["x" * limit, "x" * (limit + 1), "x" * (limit - 1) + "µ", "µ" * (limit // 2) + "x"]
+    r = parsed(spark, [line(text=t) for t in cases]).select(F.octet_length("log"), LABELS, MALFORMED).collect()
+    # A character cut through goes.
+    assert [(x[0], x[1]) for x in r] == [(limit, []), (limit, ["overflow"]), (limit - 1, ["overflow"]), (limit, ["overflow"])]
+    assert input_counts(parsed(spark, [line(text=t) for t in cases])).first()["overflow_count"] == 3
 
-LINES = ["something", "<something aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "<1634>1 aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "<1>1 aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "<16>1 aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "<163>1 aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "<163>1 short"]
+
+def test_real_line_breaks_count_as_unescaped(spark):
+    assert [r[UNESCAPED] for r in parsed(spark, [A, A + "\nand a second line", A + "\\n"]).collect()] == [False, True, False]
+
+
+STARTS = {A: True, B: True, line(7): True, line(777): True, line(7777): False, line("a"): False, "x" + A: False, A[:31]: False, A[:32]: True, "<46>1" + "y" * 40: False, "": False}
 
 
 def test_record_start(spark):
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(LINES)], "i int, l string")
-    want = [False, False, False, True, True, True, False]
-    assert [r[0] for r in df.orderBy("i").select(is_start(F.col("l"))).collect()] == want
-    assert [starts(x.encode()) for x in LINES] == want
+    df = spark.createDataFrame(list(enumerate(STARTS)), "i int, l string")
+    assert [r[0] for r in df.orderBy("i").select(is_start(F.col("l"))).collect()] == list(STARTS.values())
+    assert [starts(x.encode()) for x in STARTS] == list(STARTS.values())
+
+
+def test_endless_records_are_cut(spark):
+    """A record that no other ends is cut at the limit, by lines; what follows is no record."""
+    rows = [("c", i, A if i == 0 else "z" * 99) for i in range(50)] + [("c", 50, B), ("d", 0, A), ("d", 1, "short")]
+    df = spark.createDataFrame(rows, "conn string, no long, line string")
+    got = [r["record"] for r in frame_lines(df, "conn", "no", "line", limit=1000).orderBy(SOURCE, ORDER).collect()]
+    f = Framer(limit=1000)
+    first = [r for i in range(51) for r in f.feed(rows[i][2])][0]
+    assert got[0] == first and got[-2:] == [B, A + "\nshort"]
+    assert "\n".join(got[:-2]) == "\n".join(x for _, _, x in rows[:50]) and max(map(len, got)) <= 1000 + 100
+    assert sum(r[MALFORMED] is None for r in parsed(spark, got).collect()) == 3
 
 
 def brute(lines):
@@ -90,6 +123,18 @@ def test_framing_of_text(spark, tmp_path):
     (tmp_path / "x.log").write_text(text)
     rows = read_files(spark, str(tmp_path / "*.log")).orderBy(ORDER).collect()
     assert [r["record"] for r in rows] == [A, f"{B}\n  one\n\n  two", A]
+    # Larger files are read in parts.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        for name in ("y", "z"):
+            (tmp_path / f"{name}.txt").write_text(text * 7)
+        parts = read_files(spark, str(tmp_path / "*.txt"), largest=50)
+        got = {}
+        for r in parts.orderBy(SOURCE, ORDER).collect():
+            got.setdefault(r[SOURCE][-5:], []).append(r["record"])
+        assert got == {n: [A, f"{B}\n  one\n\n  two", A] * 7 for n in ("y.txt", "z.txt")} and parts.rdd.getNumPartitions() >= 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     df = spark.createDataFrame([(text.rstrip("\n"),), ("",)], "value string")
     assert frame_text(df, source=F.lit("s")).count() == 4
 
