@@ -4,8 +4,8 @@ Every pair (encoding the text had, encoding it was read with) gives the sequence
 go into one Aho-Corasick automaton; only the matched spans of a text change, whatever is right around them stays. Of UTF-8
 the automaton holds the first two bytes of every sequence, and a match counts where the bytes from there on are valid.
 
-Null gives (false, null), an empty text (false, ''). A text can be garbled twice; restoring repeats until nothing matches,
-`ROUNDS` times at most. U+FFFD marks a place whose bytes are lost: it is found, and left as it is.
+Null gives (false, null), an empty text (false, ''). A text can be garbled more than once; restoring repeats until nothing matches.
+U+FFFD marks a place whose bytes are lost: it is found, and left as it is.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 
 from millrace.session import ship
 
-ROUNDS = 3
-
 # Encodings that UTF-8 bytes are often read as.
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859-2", "iso8859-15", "koi8-r", "cp866")
 # Fixed values: (had, read as) of one-byte encodings whose alphabet lies wholly above ASCII, with the language's alphabet.
@@ -597,8 +595,10 @@ def restore(text: str | None) -> tuple[bool, str | None]:
     """(garbled, restored text)."""
     if not text or text.isascii():
         return False, text
-    garbled = False
-    for _ in range(ROUNDS):
+    garbled, seen = False, set()
+    # Until nothing is left to restore; a text that comes back would go round for ever.
+    while text not in seen:
+        seen.add(text)
         spans = [s for s in garbled_spans(text)]
         garbled |= bool(spans)
         spans = [s for s in spans if s[2] != text[s[0] : s[1]]]

@@ -29,15 +29,26 @@ OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
 N_HASH = 1 << 15
 #: Bound of the list of name parts, which every task holds.
 MAX_PARTS = 200_000
+#: Share of lines with other words around what is labelled.
+LOOSE = 0.4
 #: Lines drawn from each labelled row for training, and gradient steps.
-DRAWS, STEPS = 60, 90
+DRAWS, STEPS = 30, 90
 
-TOKEN = re.compile(r"\s*(?:\\[nrt]|[^\W_]+|[^\w\s]|_)")
+#: Groups of digits with a mark or a blank between them are one token, as are words; any other mark is its own.
+_GROUPS = r"\+?\(?\d+(?:\)?[ .\-/(]\(?\d+)+"
+TOKEN = re.compile(rf"\s*(?:\\[nrt]|{_GROUPS}(?![^\W_])|[^\W_]+|[^\w\s]|_)")
+_SEPARATORS = re.compile(r"\D+")
+_ALIKE = re.compile(r"0+|A+|a+")
 _DIGITS = str.maketrans("123456789", "000000000")
 _HEX = re.compile(r"(?=.*0)(?=.*[a-f])[0a-f]{4,}")
-TITLES = frozenset("herr frau mme mlle mr mrs ms dr prof m señor señora pan pani sir".split())
-STREETS = frozenset("street lane avenue road calle rue ul weg straße strasse drive close square via flat apt apartment way old du de".split())
-ID_WORDS = frozenset("ssn passport ausweis nr dni personnummer national tax nino pesel cpf identity steuer".split())
+# Words that go with names, streets and papers.
+TITLES = frozenset("herr frau mme mlle mr mrs ms miss dr prof m sr sra srta don doña señor señora signor signora pan pani sir lady".split())
+STREETS = frozenset("street st lane avenue ave road rd calle rue ul al weg straße strasse gasse allee drive close square court place terrace boulevard via viale plaza avenida rua flat apt apartment unit way old upper lower du de".split())
+ID_WORDS = frozenset("ssn social security passport reisepass ausweis personalausweis nr no dni nie nif personnummer national tax nino ni pesel cpf identity id steuer codice fiscale sécurité sociale инн паспорт licence driving".split())
+PHONE_WORDS = frozenset("phone phones tel telephone telefon teléfono téléphone telefone call called calls caller ring rings rang dial dialled sms fax mobile cell handy numéro número numer rückruf llamar rufen телефон позвонить номер".split())
+PERSON_WORDS = frozenset("name names named fullname customer client cliente kunde kundin klient клиент patient owner holder contact kontakt visitor applicant tenant beneficiary member signed signs dear letter note by für mit con z with from von de".split())
+#: Ends of words that are streets by themselves.
+STREET_ENDS = ("straße", "strasse", "weg", "gasse", "allee", "platz")
 
 
 @lru_cache(maxsize=500_000)
@@ -62,13 +73,18 @@ def features(raw: str, given: frozenset, family: frozenset) -> list[int]:
     case = "U" if w.isupper() else "T" if w[:1].isupper() else "l" if w.islower() else "-"
     lead = w[0] if w[0].isdigit() and w[0] in "01" else ""
     long = min(len(w), 12)
-    lists = ("g" if low in given else "") + ("f" if low in family else "") + ("t" if low in TITLES else "") + ("r" if low in STREETS else "") + ("i" if low in ID_WORDS else "")
+    lists = ("g" if low in given else "") + ("f" if low in family else "") + ("t" if low in TITLES else "") + ("r" if low in STREETS or low.endswith(STREET_ENDS) else "") + ("i" if low in ID_WORDS else "") + ("p" if low in PHONE_WORDS else "") + ("n" if low in PERSON_WORDS else "")
+    groups = _SEPARATORS.split(w.lstrip("+(")) if w[-1:].isdigit() and not w.isalnum() else []
+    if groups:
+        digits, plus, marks = sum(map(len, groups)), "+" if w[0] == "+" else "(" if w[0] == "(" else "", "".join(sorted(set(_SEPARATORS.findall(w.lstrip("+(")))))
+        return [_hash(f) for f in (f"w={low}", f"g={plus}{marks}", f"gd={digits}{plus}", f"gn={len(groups)}", f"ge={len(groups[0])}.{len(groups[-1])}", f"gs={len(groups[0])}{lead}{marks}", f"gl={digits}.{len(groups)}.{marks}", f"gm={marks}{len(groups)}", f"sp={space}g", f"gp={space}{plus}{digits >= 7}", f"gt={digits >= 7}{len(groups) > 2}", f"gz={w.lstrip('+(')[:1]}{len(groups)}", "b")]
+    form = _ALIKE.sub(lambda m: f"{m[0][0]}{len(m[0])}", "".join("0" if c.isdigit() else "A" if c.isupper() else "a" for c in w)) if kind == "m" else ""
     alpha = kind == "a"
     return [
         _hash(f"w={low}"),
         _hash(f"k={kind}{case}"),
         _hash(f"kl={kind}{long}{lead}"),
-        _hash(f"s4={low[-4:]}" if alpha and len(w) > 4 else f"k4={kind}"),
+        _hash(f"s4={low[-4:]}" if alpha and len(w) > 4 else f"k4={kind}{form}"),
         _hash(f"s3={low[-3:]}" if alpha and len(w) > 3 else f"k3={kind}"),
         _hash(f"p3={low[:3]}" if alpha and len(w) > 3 else f"q3={kind}"),
         _hash(f"l={lists}{case}"),
@@ -332,10 +348,12 @@ def _viterbi(em: np.ndarray, moves: np.ndarray, sizes: np.ndarray) -> np.ndarray
 
 _CHECKS = {
     "email": re.compile(r"(?s).*[\w.+-]+\s*(?:@|\(at\)|\[at\])\s*[\w-]+\s*(?:\.|\(dot\)|\[dot\])\s*[\w-]+.*", re.I),
-    "phone": re.compile(r"(?s)(?:.*\d){7}.*"),
-    "id_number": re.compile(r"(?s)(?!.*(?:\d[a-z]|[a-z]\d))(?:.*\d){6}.*"),
+    # The longest numbers have 15 digits.
+    "phone": re.compile(r"(?s)(?:\D*\d){7,15}(?:\D.*)?"),
+    # Small letters stand at one end at most, and a code in hexadecimal digits is no number that authorities give.
+    "id_number": re.compile(r"(?s)(?!.*(?<!\w)(?=[0-9a-f]*[a-f])(?=[0-9a-f]*\d)[0-9a-f]{8,}(?!\w)(?<![0-9][a-f]))(?=(?:.*\d){6})[a-z]{0,3}[^a-z]*[a-z]{0,3}"),
     "address": re.compile(r"(?s)(?=.*\d)(?=.*[^\W\d_]{2}).*"),
-    "name": re.compile(r"(?s)[^\d@]*[^\W\d_]+[^\w]+[^\W\d_]{2,}[^\d@]*"),
+    "name": re.compile(r"(?s)(?=.*[^\W\d_]{2})[^\d@]*[^\W\d_]+[^\w]+[^\W\d_]+[^\d@]*"),
 }
 
 
@@ -346,8 +364,21 @@ def _stands_alone(text: str, a: int, b: int) -> bool:
     return not joined and text[b - 1].isalnum()
 
 
+#: Small words inside names.
+_PARTICLES = frozenset("de da di del der den von van zu la le y e du dos das al bin".split())
+
+
 def passes(kind: str, found: str) -> bool:
-    return _CHECKS[kind].fullmatch(found) is not None
+    if _CHECKS[kind].fullmatch(found) is None:
+        return False
+    if kind != "name":
+        return True
+    # A letter alone is an initial with a full stop, or stands between other parts.
+    if re.match(r"\W*[^\W\d_](?![\w.])", found) or re.search(r"(?<!\w)[^\W\d_]\W*\Z", found) and not found.endswith("."):
+        return False
+    # The parts of a name are written alike: all with a capital, or none.
+    parts = [w for w in re.findall(r"[^\W\d_]{2,}", found) if w.lower() not in TITLES and w.lower() not in _PARTICLES]
+    return len({w[0].isupper() for w in parts if w.lower() != w.upper()}) < 2
 
 
 def labels(tokens: list[str], spans: list[tuple[int, int, str]]) -> np.ndarray:
@@ -368,18 +399,36 @@ def labels(tokens: list[str], spans: list[tuple[int, int, str]]) -> np.ndarray:
 # The labelled table filled in
 
 
-def examples(given: Sequence[str], family: Sequence[str], draws: int = DRAWS, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
+Forms = dict[str, list[str]]
+
+
+def examples(given: Sequence[str], family: Sequence[str], draws: int = DRAWS, seed: int = 5, rows: Sequence[str] | None = None, forms: Forms | None = None) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Lines with their spans: every labelled row `draws` times with other fillings, part of them in capitals, with wide spaces or cut short."""
     rng = random.Random(seed)
-    rows = [x for x in X.LINES.split("\n") if x]
     out = []
-    for row in rows:
-        slots = re.findall(r"\{(\w+)\}", row)
-        for _ in range(draws if slots else draws // 4):
-            out.append(_fill(row.replace("\\\\n", "\0").replace("\\n", "\n").replace("\0", "\\n") if "\\" in row else row, rng, given, family))
+    for row in X.LINES.split("\n") if rows is None else rows:
+        if row:
+            row = row.replace("\\\\n", "\0").replace("\\n", "\n").replace("\0", "\\n")
+            slots = re.findall(r"\{(\w+)\}", row)
+            # Papers are written in more ways than anything else.
+            for _ in range(draws * (1 + ("id" in slots)) if slots else max(1, draws // 4)):
+                loose = rng.random() < LOOSE  # what stands around says little there, so the shape of a value has to
+                out.append(_fill(_swapped(row, rng) if loose else row, rng, given, family, forms or X.FORMS))
     return out
 
 
+def _swapped(row: str, rng: random.Random) -> str:
+    """A row with half of its plain words put in place of others."""
+
+    def other(m: re.Match) -> str:
+        if rng.random() < 0.5:
+            return m[0]
+        w = rng.choice(_PLAIN) if rng.random() < 0.7 else _word(rng)
+        return w.upper() if m[0].isupper() else w.title() if m[0][0].isupper() else w
+
+    return "".join(x if i % 2 else re.sub(r"(?<![\\\w])[^\W\d_]{3,}(?!\w)", other, x) for i, x in enumerate(re.split(r"(\{\w+\})", row)))
+
+
 _PLAIN = "north south harbour cliff valley ridge moor delta west east lantern trellis pulley bobbin anvil silo crate kiln ferry spool dusty keen copper amber steep quiet narrow warm pale idle early rapid velvet barrel ledger harness paddock roster sluice tally".split()
 _KIND = {"id": "id_number", "addr": "address"}
 
@@ -388,7 +437,7 @@ def _word(rng: random.Random, low: int = 2, high: int = 3) -> str:
     return "".join(rng.choice("bdfghklmnprstvw") + rng.choice(["a", "e", "i", "o", "u", "ai", "ei", "ie"]) + rng.choice(["", "", "n", "r", "l", "s"]) for _ in range(rng.randint(low, high)))
 
 
-def _fill(row: str, rng: random.Random, given: Sequence[str], family: Sequence[str]) -> tuple[str, list[tuple[int, int, str]]]:
+def _fill(row: str, rng: random.Random, given: Sequence[str], family: Sequence[str], forms: Forms) -> tuple[str, list[tuple[int, int, str]]]:
     ends = [x.lower()[-5:] for x in family] or ["son"]
 
     def first() -> str:
@@ -403,18 +452,17 @@ def _fill(row: str, rng: random.Random, given: Sequence[str], family: Sequence[s
         return re.sub("A", lambda _: rng.choice("ABCDEFGHKLMNPRSTUVWXYZ"), re.sub("9", lambda _: rng.choice("0123456789"), form))
 
     def form(kind: str) -> tuple[str, int, int]:
-        f = rng.choice(X.FORMS[kind])
+        f = rng.choice(forms[kind])
         if kind in ("phone", "id"):
-            f = digits(re.sub(r"(?<![\[\dA])A(?=usweis)", "\1", f)).replace("\1", "A")
             if "[" in f:
                 a, b = f.index("["), f.index("]")
-                return f[:a] + f[a + 1 : b] + f[b + 1 :], a, b - 1
-            return f, 0, len(f)
+                return f[:a] + digits(f[a + 1 : b]) + f[b + 1 :], a, b - 1
+            return digits(f), 0, len(f)
         if kind == "addr":
             place = rng.choice(_PLAIN) if rng.random() < 0.7 else _word(rng)
             town = (_word(rng, 1, 1) + rng.choice(X.TOWN_ENDS)).title()
-            f = re.sub(r"\bW(?=\b|weg|straße)", place.title(), f)
-            f = re.sub(r"\bF\b", last(), f)
+            f = re.sub(r"\bW(?=\b|weg|straße|gasse)", place.title(), f)
+            f = re.sub(r"\bF(?=\b|straße)", last(), f)
             f = re.sub(r"\bT$", town, f)
             f = re.sub("9A", lambda _: "9" + rng.choice("ABCD"), f)
             return re.sub("9", lambda _: rng.choice("0123456789"), f), 0, len(re.sub("9", "0", f))
