@@ -52,14 +52,14 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """``df`` as a table written once to the shared folder: later uses read it instead of computing it again.
 
-    The table survives the loss of executors. It is removed when the driver ends.
+    The table survives the loss of executors. It is removed when the driver ends. Hashes and numbers don't get smaller by `zstd`: `snappy` costs less for them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     _forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
