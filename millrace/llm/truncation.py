@@ -32,23 +32,23 @@ from millrace.llm.encoding import restore
 from millrace.session import ship, written
 
 #: Bounds of the sample that the weights are trained on: rows, and bytes of text, both on average.
-SAMPLE_ROWS, SAMPLE_BYTES = 40_000, 48_000_000
+SAMPLE_ROWS, SAMPLE_BYTES = 24_000, 32_000_000
 #: Cut copies of each intact text.
 COPIES = 2
 N_HASH = 1 << 18
 #: Gradient steps of a model and rows of each, parts of the sample, and rounds of setting aside.
-STEPS, STEP_ROWS, FOLDS, ROUNDS = 450, 2048, 3, 3
+STEPS, STEP_ROWS, FOLDS, ROUNDS = 400, 2048, 3, 2
 #: Share of cut texts assumed in training: cut copies weigh as much together.
 PRIOR = 0.25
 #: A text is set aside from this log-odds of being cut on.
-ASIDE = -1.0
+ASIDE = -1.5
 #: A text counts as cut from this probability on.
 THRESHOLD = 0.5
 #: From this probability on a text beyond ASCII is judged by what it stands for, should it be garbled: a garbled ending looks new.
 DOUBT = 0.1
 #: Limits whose cut copies the sample is given, the most frequent ones. Texts at any limit, however many there are, have the feature.
 COPIED_LIMITS = 20_000
-#: Limits that are broadcast; more of them are joined by shuffle.
+#: Rows of limits, or of parts of restored texts, that are broadcast once they are counted; more of them are joined by shuffle.
 BROADCAST_LIMITS = 100_000
 # Marks that programs leave where they cut.
 MARKS = ("...", "…", "...", "…", "...", "…", "…", "…", " ...", " …", " ... (cut)", " [..]", "[...]", " [...]", "<snip>", " <snip>", "\n  ... [truncated]", " [truncated]", "(truncated)", " ... [cut]", "...(more)", " (more)", "[cut]", "~")
@@ -342,26 +342,39 @@ class Corpus:
     def __init__(self, distinct: DataFrame, words: DataFrame) -> None:
         """From distinct parts with the number of texts that have them (`n`), and words with how often they stand inside texts."""
         pairs = distinct.select("n", F.explode(F.arrays_zip("heads", "ends")).alias("p"))
-        self.ends = written(pairs.groupBy(F.col("p.heads").alias("head"), F.col("p.ends").alias("at")).agg(F.sum("n").alias("count")))
-        self.heads = self.ends.groupBy("head").agg(F.sum("count").alias("n"), F.sum(F.col("count") * (F.col("count") - 1)).alias("square"))
+        self.ends = written(pairs.groupBy(F.col("p.heads").alias("head"), F.col("p.ends").alias("at")).agg(F.sum("n").alias("count")), "snappy")
+        self.heads = _heads(self.ends)
         self.words = words.groupBy(F.col("word").alias("at")).agg(F.sum("times").alias("count"))
         self.total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    def counts(self, rows: DataFrame, key: str, own: bool) -> DataFrame:
-        """(key, counts of the four pairs and of the last word) of rows of parts. With `own` each row is one of the texts counted, and leaves itself out."""
-        wanted = rows.select(key, F.posexplode(F.arrays_zip("heads", "ends")).alias("i", "p")).select(key, "i", F.col("p.heads").alias("head"), F.col("p.ends").alias("at"))
-        said = rows.filter("word is not null").select(key, F.lit(4).alias("i"), F.lit(None).cast("bigint").alias("head"), F.col("word").alias("at"))
-        known = self.ends.select("at", "count").unionByName(self.words)
-        found = wanted.join(self.heads, "head", "left").unionByName(said.withColumns({"n": F.lit(None).cast("bigint"), "square": F.lit(None).cast("bigint")})).join(known, "at", "left")
-        one = 1 if own else 0
+    def counts(self, rows: DataFrame, key: str, own: Column, few: bool = False) -> DataFrame:
+        """(key, counts of the four pairs and of the last word) of rows of parts. Where `own` holds the row is one of the texts counted, and leaves itself out.
+
+        With `few`, `rows` were counted and are few enough to be broadcast: the tables of counts are then narrowed to what they ask for, and not shuffled.
+        """
+        one = F.col("one")
+        wanted = rows.select(key, own.cast("int").alias("one"), F.posexplode(F.arrays_zip("heads", "ends")).alias("i", "p")).select(key, "one", "i", F.col("p.heads").alias("head"), F.col("p.ends").alias("at"))
+        said = rows.filter("word is not null").select(key, F.lit(0).alias("one"), F.lit(4).alias("i"), F.lit(None).cast("bigint").alias("head"), F.col("word").alias("at"))
+        ends, heads, words = self.ends, self.heads, self.words
+        if few:
+            ends = self.ends.join(F.broadcast(wanted.select("at").distinct()), "at", "left_semi")
+            heads = _heads(self.ends.join(F.broadcast(wanted.select("head").distinct()), "head", "left_semi"))
+            words = self.words.join(F.broadcast(said.select("at").distinct()), "at", "left_semi")
+        known = ends.select("at", "count").unionByName(words)
+        found = wanted.join(heads, "head", "left").unionByName(said.withColumns({"n": F.lit(None).cast("bigint"), "square": F.lit(None).cast("bigint")})).join(known, "at", "left")
         c = F.coalesce("count", F.lit(0))
         values = {"c": F.greatest(c - one, F.lit(0)), "n": F.greatest(F.coalesce("n", F.lit(0)) - one, F.lit(0)), "s": F.greatest(F.coalesce("square", F.lit(0)) - 2 * one * (c - one), F.lit(0))}
         columns = [F.max(F.when(F.col("i") == i, v)).alias(f"{name}{i}") for name, v in values.items() for i in range(4)]
         return found.groupBy(key).agg(*columns, F.max(F.when(F.col("i") == 4, c)).alias("words"))
 
-    def numbered(self, rows: DataFrame, key: str, own: bool) -> DataFrame:
+    def numbered(self, rows: DataFrame, key: str, own: Column, few: bool = False) -> DataFrame:
         """``rows`` with their counts beside them."""
-        return rows.join(self.counts(rows.select(key, "heads", "ends", "word"), key, own), key)
+        return rows.join(self.counts(rows, key, own, few), key)
+
+
+def _heads(ends: DataFrame) -> DataFrame:
+    """Openings with the texts that have them, and how many pairs of those end alike."""
+    return ends.groupBy("head").agg(F.sum("count").alias("n"), F.sum(F.col("count") * (F.col("count") - 1)).alias("square"))
 
 
 _COUNTS = [f"{name}{i}" for name in "cns" for i in range(4)] + ["words"]
@@ -381,7 +394,7 @@ def _rate(weights, total: float):
         w = weights.value
         for b in batches:
             p = probability(w[_matrix(b, total)].sum(1)) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], names=["parts", "probability"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), b.column(2)], names=["parts", "probability", "context"])
 
     return run
 
@@ -448,11 +461,11 @@ def scores(df: DataFrame, key: str, text: str | Column, source: str | Column) ->
         flags = F.broadcast(flags)
     marked = rows.join(flags, ["source", "n_bytes"], "left").select("key", "source", "text", F.coalesce("limit", F.lit(False)).alias("limit"))
     kind = rows.schema["key"].dataType.simpleString()
-    read = written(marked.mapInArrow(_read, f"key {kind}, source string, text string, parts bigint, {_PARTS}, times bigint, is_text boolean"))
+    read = written(marked.mapInArrow(_read, f"key {kind}, source string, text string, parts bigint, {_PARTS}, times bigint, is_text boolean"), "snappy")
     texts = read.filter("is_text")
     names = ["feats", "heads", "ends", "word", "context"]
     meant = texts.filter("feats is not null").select("parts", *names).dropDuplicates(["parts"])
-    distinct = written(texts.filter("parts is not null").groupBy("parts").agg(F.count(F.lit(1)).alias("n")).join(meant, "parts"))
+    distinct = written(texts.filter("parts is not null").groupBy("parts").agg(F.count(F.lit(1)).alias("n")).join(meant, "parts"), "snappy")
     corpus = Corpus(distinct, read.filter("not is_text").select("word", "times"))
     by_source: dict[str, list[int]] = {}
     for r in limits.orderBy(F.desc("n"), "source", "n_bytes").limit(COPIED_LIMITS).collect():
@@ -460,17 +473,23 @@ def scores(df: DataFrame, key: str, text: str | Column, source: str | Column) ->
     part = min(1.0, 0.97 * SAMPLE_ROWS / n, SAMPLE_BYTES / size) if n else 0.0
     picked = marked.filter((F.octet_length("text") > 0) & (F.pmod(F.xxhash64("text", "source", "key"), F.lit(1 << 30)) < F.lit(int(part * (1 << 30))))).groupBy("source", "text", "limit").agg(F.count(F.lit(1)).alias("times"))
     examples = written(picked.mapInArrow(_examples(spark.sparkContext.broadcast(by_source)), f"id bigint, cut boolean, unsure boolean, times bigint, {_PARTS}"))
-    own = corpus.numbered(examples.filter("not cut"), "id", True)
-    weights = spark.sparkContext.broadcast(_train(own.unionByName(corpus.numbered(examples.filter("cut"), "id", False)), float(corpus.total)))
+    # Texts and examples look up their counts together. Numbers of examples are odd and those of parts even, so that no two are the same.
+    asking = distinct.select(F.shiftleft("parts", 1).alias("id"), "parts", F.lit(None).cast("boolean").alias("cut"), F.lit(None).cast("boolean").alias("unsure"), F.lit(None).cast("bigint").alias("times"), *names)
+    asking = asking.unionByName(examples.select(F.shiftleft("id", 1).bitwiseOR(F.lit(1)).alias("id"), F.lit(None).cast("bigint").alias("parts"), "cut", "unsure", "times", *names))
+    answered = written(corpus.numbered(asking, "id", ~F.coalesce("cut", F.lit(False))).select("id", "parts", "cut", "unsure", "times", "feats", "context", *_COUNTS), "snappy")
+    total = float(corpus.total)
+    weights = spark.sparkContext.broadcast(_train(answered.filter("cut is not null"), total))
 
-    def rated(parts_: DataFrame, own: bool) -> DataFrame:
-        return corpus.numbered(parts_, "parts", own).select("parts", "feats", "context", *_COUNTS).mapInArrow(_rate(weights, float(corpus.total)), "parts bigint, probability double")
+    def rated(rows: DataFrame) -> DataFrame:
+        return rows.select("parts", "feats", "context", *_COUNTS).mapInArrow(_rate(weights, total), "parts bigint, probability double, context bigint")
 
-    first = written(rated(distinct, True).join(distinct.select("parts", "context"), "parts"))
+    first = written(rated(answered.filter("parts is not null")), "snappy")
     doubt = texts.filter("text is not null").select("key", "source", "text", "parts").join(first.filter(F.col("probability") > DOUBT), "parts").select("key", "source", "text", "context", "probability")
     again = written(doubt.mapInArrow(_reread, f"key {kind}, source string, probability double, parts bigint, {_PARTS}"))
     restored = again.filter("feats is not null").select("parts", *names).dropDuplicates(["parts"])
-    second = again.filter("parts is not null").select("key", "source", "parts").join(rated(restored, False), "parts").unionByName(again.filter("parts is null").select("key", "source", "parts", "probability"))
+    few = restored.count() <= BROADCAST_LIMITS
+    rerated = rated(corpus.numbered(restored, "parts", F.lit(False), few)).select("parts", "probability")
+    second = again.filter("parts is not null").select("key", "source", "parts").join(rerated, "parts").unionByName(again.filter("parts is null").select("key", "source", "parts", "probability"))
     sure = texts.select("key", "source", "parts", F.col("text").isNotNull().alias("beyond")).join(first.select("parts", "probability"), "parts", "left")
     sure = sure.filter(~(F.col("beyond") & (F.coalesce("probability", F.lit(0.0)) > DOUBT)))
     out = sure.select("key", "source", F.coalesce("probability", F.lit(0.0)).alias("probability")).unionByName(second.select("key", "source", "probability"))

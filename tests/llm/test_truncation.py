@@ -82,7 +82,7 @@ def test_counts_are_of_all_texts(spark, monkeypatch):
         def __init__(self, distinct, words):
             super().__init__(distinct, words)
             rows = distinct.filter(X.F.array_contains("ends", X.number("00silo 0\ntoday")) | X.F.array_contains("ends", X.number("00silo 0\nfu")))
-            seen["counts"] = sorted((r["c0"], r["n0"]) for r in self.counts(rows, "parts", True).collect())
+            seen["counts"] = sorted((r["c0"], r["n0"]) for r in self.counts(rows, "parts", X.F.lit(True)).collect())
             seen["words"] = {r["at"]: r["count"] for r in self.words.collect()}
             seen["total"] = self.total
 
