@@ -348,8 +348,8 @@ def _viterbi(em: np.ndarray, moves: np.ndarray, sizes: np.ndarray) -> np.ndarray
 
 _CHECKS = {
     "email": re.compile(r"(?s).*[\w.+-]+\s*(?:@|\(at\)|\[at\])\s*[\w-]+\s*(?:\.|\(dot\)|\[dot\])\s*[\w-]+.*", re.I),
-    # The longest numbers have 15 digits.
-    "phone": re.compile(r"(?s)(?:\D*\d){7,15}(?:\D.*)?"),
+    # The longest numbers have 15 digits; an extension may follow.
+    "phone": re.compile(r"(?si)(?:[^\dx]*\d){7,15}\D*(?:(?:x|ext)\W*\d{1,6})?\W*"),
     # Small letters stand at one end at most, and a code in hexadecimal digits is no number that authorities give.
     "id_number": re.compile(r"(?s)(?!.*(?<!\w)(?=[0-9a-f]*[a-f])(?=[0-9a-f]*\d)[0-9a-f]{8,}(?!\w)(?<![0-9][a-f]))(?=(?:.*\d){6})[a-z]{0,3}[^a-z]*[a-z]{0,3}"),
     "address": re.compile(r"(?s)(?=.*\d)(?=.*[^\W\d_]{2}).*"),

@@ -112,4 +112,5 @@ def test_garbled_endings_are_judged_by_what_they_stand_for(spark):
     df = spark.createDataFrame(rows, "id long, source string, log string")
     first = spark.createDataFrame([(i, s, restore(t)[1]) for i, s, t in rows], "id long, source string, log string")
     got, want = ({r["id"] for r in X.found(x, "id", "log", "source").collect()} for x in (df, first))
-    assert len(got & want) / len(want) > 0.97 and len(got - want) <= 0.03 * len(want)
+    # Nothing is lost that restoring first would find, and what comes beside it is really cut, not garbled.
+    assert len(got & want) / len(want) > 0.97 and sum(i % 40 != 0 for i in got) <= 0.02 * len(got)
